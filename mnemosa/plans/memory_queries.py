@@ -1,0 +1,4 @@
+"""Queries for the memory store's own operators."""
+
+QUERIES: dict = {}
+SQL: dict = {}
