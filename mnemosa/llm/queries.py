@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mnemosa.llm.conversations import rebuild
+from mnemosa.llm.neighbors import nearest, similar_pairs, usable_vectors
 from mnemosa.llm.topn import top_facts
 from mnemosa.sources.tables import read_table
 
@@ -24,7 +26,25 @@ def p4_clock_corrected(spark: SparkSession, sf: str) -> DataFrame:
     return rebuild(read_table(spark, sf, "mg_message"), 5_000_000)
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p4_found, p4_clock_corrected)}
+def _vectors(spark: SparkSession, sf: str) -> list[tuple[DataFrame, bool]]:
+    facts = usable_vectors(read_table(spark, sf, "mg_entity_fact"), "mg_entity_fact.embedding", "embedding", "embedding_model", "updated_at")
+    talks = usable_vectors(read_table(spark, sf, "mg_conversation"), "mg_conversation.summary_embedding", "summary_embedding", "summary_embedding_model")
+    return [(facts, True), (talks, False)]
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of vectors of one field, model and length with a cosine of at least 0.90."""
+    pairs = similar_pairs(_vectors(spark, sf), 0.90)
+    return pairs.select(F.substring_index("grp", "|", 1).alias("field"), F.col("a").alias("uuid_a"), F.col("b").alias("uuid_b"))
+
+
+def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 most similar vectors of every 50th vector (by a number made of its uuid), among all vectors."""
+    found = nearest(_vectors(spark, sf), F.pmod(F.crc32("id"), F.lit(50)) == 0)
+    return found.select(F.substring_index("grp", "|", 1).alias("field"), F.col("query").alias("uuid"), "rank_no", F.col("neighbor").alias("uuid_near"), F.round("cos", 4).alias("cos"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p4_found, p4_clock_corrected, p5_found, p5_neighbours)}
 
 _KEY = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 
@@ -47,4 +67,10 @@ good AS (SELECT conversation_id FROM n GROUP BY conversation_id
   HAVING bool_and(side <> coalesce(ks, 1)) AND count(*) % 2 = 0)
 SELECT conversation_id, CAST(turn_no AS INTEGER) AS turn_no, uuid FROM n
 WHERE conversation_id IN (SELECT conversation_id FROM good) AND conversation_id NOT IN (SELECT conversation_id FROM broken)""",
+    "p5_found": f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY {_KEY.format("uuid")} ORDER BY updated_at DESC) AS n FROM mg_entity_fact),
+v AS (SELECT 'mg_entity_fact.embedding' AS field, {_KEY.format("uuid")} AS id, embedding::DOUBLE[] AS e, coalesce({_KEY.format("embedding_model")}, '') AS m FROM s WHERE n = 1
+  UNION ALL SELECT 'mg_conversation.summary_embedding', {_KEY.format("uuid")}, summary_embedding::DOUBLE[], coalesce({_KEY.format("summary_embedding_model")}, '') FROM mg_conversation),
+u AS (SELECT * FROM v WHERE len(e) > 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0)
+SELECT a.field, a.id AS uuid_a, b.id AS uuid_b FROM u a JOIN u b ON a.field = b.field AND a.m = b.m AND len(a.e) = len(b.e) AND a.id < b.id
+WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
 }
