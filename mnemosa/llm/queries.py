@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from mnemosa.llm.conversations import rebuild
 from mnemosa.llm.neighbors import nearest, similar_pairs, usable_vectors
+from mnemosa.llm.privacy import find_personal, redact
 from mnemosa.llm.topn import top_facts
+from mnemosa.functions.keys import norm_key
 from mnemosa.sources.tables import read_table
 
 
@@ -44,7 +46,23 @@ def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.substring_index("grp", "|", 1).alias("field"), F.col("query").alias("uuid"), "rank_no", F.col("neighbor").alias("uuid_near"), F.round("cos", 4).alias("cos"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p4_found, p4_clock_corrected, p5_found, p5_neighbours)}
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    facts, messages = read_table(spark, sf, "mg_entity_fact"), read_table(spark, sf, "mg_message")
+    pick = lambda df, table, col: df.select(F.lit(f"{table}.{col}").alias("field"), norm_key("uuid").alias("uuid"), F.col(col).alias("text"))
+    return pick(messages, "mg_message", "content").unionByName(pick(facts, "mg_entity_fact", "verbatim")).unionByName(pick(facts, "mg_entity_fact", "content"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every different item of personal information in every record."""
+    return find_personal(_texts(spark, sf), read_table(spark, sf, "given_name"))
+
+
+def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts with placeholders in place of personal information."""
+    return redact(_texts(spark, sf), read_table(spark, sf, "given_name"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p4_found, p4_clock_corrected, p5_found, p5_neighbours, p7_found, p7_redacted)}
 
 _KEY = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 
