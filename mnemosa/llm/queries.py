@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemosa.llm.conversations import rebuild
+from mnemosa.llm.mixing import mix_sources, plan, reached_shares, sized
 from mnemosa.llm.neighbors import nearest, similar_pairs, usable_vectors
 from mnemosa.llm.privacy import find_personal, redact
+from mnemosa.llm.tokens import with_ids
 from mnemosa.llm.topn import top_facts
 from mnemosa.functions.keys import norm_key
 from mnemosa.sources.tables import read_table
@@ -62,7 +64,24 @@ def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return redact(_texts(spark, sf), read_table(spark, sf, "given_name"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p4_found, p4_clock_corrected, p5_found, p5_neighbours, p7_found, p7_redacted)}
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The token ids of every document."""
+    return with_ids(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest mixture of the sources in mix_target that reaches every weight within its cap."""
+    mix = read_table(spark, sf, "mix_target")
+    docs = sized(read_table(spark, sf, "documents"), mix)
+    return mix_sources(docs, plan(docs, mix))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached share of every source of the mixture."""
+    return reached_shares(p9_mix(spark, sf), read_table(spark, sf, "mix_target"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p4_found, p4_clock_corrected, p5_found, p5_neighbours, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares)}
 
 _KEY = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 
