@@ -10,6 +10,7 @@ from mnemosa.llm.mixing import mix_sources, plan, reached_shares, sized
 from mnemosa.llm.neighbors import nearest, similar_pairs, usable_vectors
 from mnemosa.llm.privacy import find_personal, redact
 from mnemosa.llm.tokens import with_ids
+from mnemosa.llm.quality import classify, common_words, statistics
 from mnemosa.llm.topn import top_facts
 from mnemosa.functions.keys import norm_key
 from mnemosa.sources.tables import read_table
@@ -81,7 +82,19 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return reached_shares(p9_mix(spark, sf), read_table(spark, sf, "mix_target"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p4_found, p4_clock_corrected, p5_found, p5_neighbours, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that are lists, tables or junk."""
+    kinds = classify(read_table(spark, sf, "documents"), read_table(spark, sf, "common_word"))
+    return kinds.filter("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Word count, mean word length, symbol ratio, and shares of punctuated lines and common words of every document."""
+    stats = statistics(read_table(spark, sf, "documents"), common_words(read_table(spark, sf, "common_word")))
+    return stats.select("doc_id", "word_count", *[F.round(c, 6).alias(c) for c in stats.columns[2:]])
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p4_found, p4_clock_corrected, p5_found, p5_neighbours, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_stats)}
 
 _KEY = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 
