@@ -25,8 +25,10 @@ PUNCT_LINE = r"(?m)^.*[.!?…。！？][\"»”’')\]]*[ \t]*$"
 SYMBOL = r"[^\p{L}\p{M}\p{N}\s]"
 MARKED = r"(?m)^[ \t\x{a0}]*(?:> ?)*(?:[-*+•·–—▪◦‣○●∙]|\[[ xX✓]?\]|[☐☑✓✗]|\(?\d{1,3}[.)\]:]|#\d{1,3}|\d{1,3} [-–]|\([a-zA-Z]\)|[a-zA-Z][.)])[ \t]+\S.*$"
 CELLS = (
-    r"(?m)^(?:[ \t]*\|.*\|[ \t]*|[^|\n]*[^|\s][^|\n]*\|[^|\n]*\|.*|.*\t.*\S.*|(?:[^;\n]*;(?! )){2,}.*|[^;\n]{0,40};(?! )[^; \n]+|(?!.*\d,\d{3},?\d* \p{L})(?:[^,\n]{0,40},(?! )){2,}[^,\n]{0,40}(?<![.!?])|[ \t]*\S+(?: \S+){0,4}(?: {2,}\S+(?: \S+){0,4}){2,}[ \t]*"
-    r"|[ \t]*\S+(?: \S+){0,4} {3,}\S+(?: \S+){0,4}[ \t]*|[ \t]*[+|][-=+|: ]{3,}[ \t]*|[ \t]*[-=]{3,}(?:[ +|]+[-=]{3,})+[ \t]*)$"
+    r"(?m)^(?:[^|\n]*+\|[^|\n]*+\|.*|[^\t\n]*+\t.*\S.*|(?:[^;\n]*+;(?! )){2,}.*|[^;\n]{0,40}+;(?! )[^; \n]++"
+    r"|(?:[^,\n]{0,40}+,(?! )){2,}+[^,\n]{0,40}(?<![.!?])(?<!\d{3} [\p{L} ]{0,39})"
+    r"|[ \t]*+\S++(?: \S++){0,4}+(?: {2,}+\S++(?: \S++){0,4}+){2,}+[ \t]*+|[ \t]*+\S++(?: \S++){0,4}+ {3,}+\S++(?: \S++){0,4}+[ \t]*+"
+    r"|[ \t]*+[+|][-=+|: ]{3,}+|[ \t]*+[-=]{3,}+(?:[ +|]++[-=]{3,}+)++[ \t]*+)$"
 )
 SHORT = r"(?m)^[ \t]*\S+(?: +\S+){0,5}[ \t]*(?<![.!?…,])$"
 SENTENCE_END = r"[\p{L}\p{N}\)\"»][.!?…。！？](?=[\s\"»”)]|$)"
