@@ -11,10 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemosa.functions.text import col
 
 
+VECTOR = T.ArrayType(T.FloatType())
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -38,7 +42,7 @@ def admissible(v: Column | str, model: Column | str, query: Column | str, query_
     return F.when((F.size(v) == F.size(query)) & (F.size(v) > 0) & ((m == "") | (q == "") | (m == q)), col(v))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(VECTOR)
 def decode_vector(blobs: pd.Series) -> pd.Series:
     """Stored vectors: little-endian float32, or a JSON array; null where neither reads."""
 
@@ -55,7 +59,7 @@ def decode_vector(blobs: pd.Series) -> pd.Series:
     return blobs.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_vector(vectors: pd.Series) -> pd.Series:
     """Vectors as little-endian float32; an empty or null vector as no bytes."""
     return vectors.map(lambda v: b"" if v is None else np.asarray(v, "<f4").tobytes())
@@ -97,7 +101,7 @@ def check_embedder(embedder: Embedder) -> None:
 def embed_udf(embedder: Embedder, batch: int = 32) -> Callable[[Column | str], Column]:
     """A column function that embeds texts in batches; null for a null text."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(VECTOR)
     def run(texts: pd.Series) -> pd.Series:
         there = texts[texts.notna()]
         vectors: list = []

@@ -21,10 +21,14 @@ from mnemosa.operators import sessions as T
 from mnemosa.schema import current_facts
 from mnemosa.sources.tables import read_table
 
-AS_OF = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
 QUERIES: dict = {}
 
 
+def as_of():
+    """The present of all queries."""
+    return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -60,7 +64,7 @@ def facts_newest(spark, sf):
 def facts_filtered(spark, sf):
     """Facts that meet most of the optional predicates."""
     where = FactFilter(types=("identity", "event"), statuses=("current",), tags=("work", "preference", "personal", "location"), min_significance=3, max_significance=9, min_confidence=0.2, exclude_expired=True, pinned=False)
-    return S.list_facts(facts_of(spark, sf), 0, where, AS_OF).select("entity_id", "uuid", "fact_type", "tag", "significance")
+    return S.list_facts(facts_of(spark, sf), 0, where, as_of()).select("entity_id", "uuid", "fact_type", "tag", "significance")
 
 
 @query
@@ -69,7 +73,7 @@ def facts_in_lists(spark, sf):
     a = FactFilter(thread_statuses=("open", "resolved"), valences=("grief", "joy", "anxiety", "hope", "love", "anger", "fear"), reference_after="2023-08-01", reference_before="2023-12-31")
     b = FactFilter(slots=("diet", "pet", "housing", "employer"), types=("identity", "event", "pattern"))
     facts = facts_of(spark, sf)
-    return facts.filter(a.condition(AS_OF) | b.condition(AS_OF)).select("entity_id", "uuid", "slot", "thread_status", "emotional_valence", "reference_time")
+    return facts.filter(a.condition(as_of()) | b.condition(as_of())).select("entity_id", "uuid", "slot", "thread_status", "emotional_valence", "reference_time")
 
 
 @query
@@ -181,26 +185,26 @@ def cosine_best(spark, sf):
 def bm25_scores(spark, sf):
     """Lexical scores of every unexpired fact for its entity's newest question."""
     questions = R.with_query_parts(Q.newest_questions(conversations_of(spark, sf)))
-    facts = Q.fact_candidates(facts_of(spark, sf), AS_OF).select("entity_id", "id", "content")
+    facts = Q.fact_candidates(facts_of(spark, sf), as_of()).select("entity_id", "id", "content")
     return R.bm25(facts.join(questions.select("query_id", "entity_id", "_terms"), "entity_id")).filter("lexical > 0").select("query_id", "id", "lexical")
 
 
 @query
 def rank_full(spark, sf):
     """Hybrid recall of every entity's facts for its newest question."""
-    found = Q.recall_facts(facts_of(spark, sf), Q.newest_questions(conversations_of(spark, sf)), AS_OF, R.RankOptions(limit=50))
+    found = Q.recall_facts(facts_of(spark, sf), Q.newest_questions(conversations_of(spark, sf)), as_of(), R.RankOptions(limit=50))
     return found.select("query_id", "id", "rank_no", "score")
 
 
 @query
 def rank_diversified(spark, sf):
-    found = Q.recall_facts(facts_of(spark, sf), Q.newest_questions(conversations_of(spark, sf)), AS_OF, R.RankOptions(limit=20, diversify=True))
+    found = Q.recall_facts(facts_of(spark, sf), Q.newest_questions(conversations_of(spark, sf)), as_of(), R.RankOptions(limit=20, diversify=True))
     return found.select("query_id", "id", "rank_no", "score", "tag")
 
 
 @query
 def kneedle_cut(spark, sf):
-    found = Q.recall_facts(facts_of(spark, sf), Q.newest_questions(conversations_of(spark, sf)), AS_OF, R.RankOptions(limit=50))
+    found = Q.recall_facts(facts_of(spark, sf), Q.newest_questions(conversations_of(spark, sf)), as_of(), R.RankOptions(limit=50))
     return R.kneedle(found).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
@@ -213,38 +217,38 @@ def summary_recall(spark, sf):
 
 @query
 def conscious_topk(spark, sf):
-    return Q.conscious(facts_of(spark, sf), AS_OF)
+    return Q.conscious(facts_of(spark, sf), as_of())
 
 
 @query
 def proactive_threads(spark, sf):
-    return P.thread_triggers(facts_of(spark, sf), AS_OF).drop("position")
+    return P.thread_triggers(facts_of(spark, sf), as_of()).drop("position")
 
 
 @query
 def proactive_feelings(spark, sf):
-    return P.feeling_triggers(facts_of(spark, sf), AS_OF).drop("position")
+    return P.feeling_triggers(facts_of(spark, sf), as_of()).drop("position")
 
 
 @query
 def proactive_milestones(spark, sf):
-    return P.milestone_triggers(facts_of(spark, sf), AS_OF).drop("position")
+    return P.milestone_triggers(facts_of(spark, sf), as_of()).drop("position")
 
 
 @query
 def proactive_nostalgia(spark, sf):
-    return P.nostalgia_triggers(facts_of(spark, sf), AS_OF).drop("position")
+    return P.nostalgia_triggers(facts_of(spark, sf), as_of()).drop("position")
 
 
 @query
 def proactive_predictions(spark, sf):
     """Follow-ups of study goals, as the tables have no slot for predictions."""
-    return P.prediction_triggers(facts_of(spark, sf), AS_OF, "study_goal").drop("position")
+    return P.prediction_triggers(facts_of(spark, sf), as_of(), "study_goal").drop("position")
 
 
 @query
 def proactive_union(spark, sf):
-    return P.proactive(facts_of(spark, sf), AS_OF).select("entity_id", "rank_no", "kind", "uuid", "priority")
+    return P.proactive(facts_of(spark, sf), as_of()).select("entity_id", "rank_no", "kind", "uuid", "priority")
 
 
 @query
@@ -254,12 +258,12 @@ def ttl_assigned(spark, sf):
 
 @query
 def expired_split(spark, sf):
-    return L.split_expired(facts_of(spark, sf), AS_OF).groupBy("entity_id", "expired").agg(F.count(F.lit(1)).alias("n_facts"))
+    return L.split_expired(facts_of(spark, sf), as_of()).groupBy("entity_id", "expired").agg(F.count(F.lit(1)).alias("n_facts"))
 
 
 @query
 def stale_summaries(spark, sf):
-    pruned = L.prune_summaries(conversations_of(spark, sf), AS_OF)
+    pruned = L.prune_summaries(conversations_of(spark, sf), as_of())
     return pruned.groupBy("entity_id").agg(F.count(F.when(F.coalesce("summary", F.lit("")) != "", 1)).alias("n_summaries"), F.count("summary_embedding").alias("n_vectors"))
 
 
@@ -268,7 +272,7 @@ def memories_added(spark, sf):
     """What adding every fact's verbatim as a memory of its entity does."""
     facts = facts_of(spark, sf).withColumn("content_key", X.content_key("content"))
     incoming = facts.filter("verbatim <> ''").select("entity_id", F.col("uuid").alias("seq"), F.col("verbatim").alias("content"), "significance")
-    return L.add_memories(facts, incoming, AS_OF).select("entity_id", "content_key", "action", "significance", "expires_at", "mentions")
+    return L.add_memories(facts, incoming, as_of()).select("entity_id", "content_key", "action", "significance", "expires_at", "mentions")
 
 
 @query
@@ -276,7 +280,7 @@ def reinforced(spark, sf):
     """Facts after each was mentioned once more for every message role, with promotion."""
     facts = facts_of(spark, sf).select("uuid", "significance", "reinforced_count", "reinforced_at", "expires_at", "recall_count")
     mentions = facts.filter("recall_count > 0").select("uuid", F.explode(F.sequence(F.lit(1), F.least("recall_count", F.lit(3)))).alias("seq"), (F.col("significance") - 1).alias("significance"))
-    return L.reinforce(facts, mentions, AS_OF).select("uuid", "significance", "reinforced_count", "expires_at")
+    return L.reinforce(facts, mentions, as_of()).select("uuid", "significance", "reinforced_count", "expires_at")
 
 
 @query
@@ -303,7 +307,7 @@ def semantic_dedup(spark, sf):
 
 @query
 def consolidation_groups(spark, sf):
-    groups = L.consolidation_groups(facts_of(spark, sf), AS_OF, min_group=2, max_significance=10)
+    groups = L.consolidation_groups(facts_of(spark, sf), as_of(), min_group=2, max_significance=10)
     return groups.select("entity_id", "tag", "n_facts", F.md5("lines").alias("digest"))
 
 
@@ -330,7 +334,7 @@ def ingest_chunks(spark, sf):
 def _context_inputs(spark, sf):
     facts, talks = facts_of(spark, sf), conversations_of(spark, sf)
     text = facts.select("uuid", "content", "temporal_status", "reference_time", "tag", "confidence", "verbatim")
-    profile = Q.conscious(facts, AS_OF).join(text, "uuid").withColumnRenamed("rank_no", "position")
+    profile = Q.conscious(facts, as_of()).join(text, "uuid").withColumnRenamed("rank_no", "position")
     recalled = S.list_facts(facts, 30).select("entity_id", F.col("rank_no").alias("position"), "content", "temporal_status", "reference_time")
     past = S.summaries(talks, 10).select("entity_id", F.col("rank_no").alias("position"), F.col("summary").alias("content"), "created_at")
     return profile, recalled, past

@@ -4,15 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mnemosa.functions.keys import latest_state, norm_key
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl) if SparkSession.getActiveSession() else ddl  # type: ignore[return-value]
-
-
 ENTITY = "uuid string, external_id string, created_at timestamp"
 FACT = (
     "uuid string, entity_id string, content string, embedding array<float>, created_at timestamp, updated_at timestamp, fact_type string, temporal_status string, significance int, "
