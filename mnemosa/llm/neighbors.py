@@ -22,13 +22,15 @@ from mnemosa.functions.keys import first_per_key, norm_key
 from mnemosa.session import broadcast_if_small, materialize
 
 #: Vectors a cell should hold on average; the number of centroids follows from it and the group's size.
-CELL = 512
+CELL = 1024
 #: Vectors above which a cell is split; the parts of a cell meet pairwise, so nothing is lost.
 SPLIT = 4096
 #: The codebooks are fitted on at most this many vectors a group, or 32 a centroid if that is more.
 SAMPLE = 8192
-#: Cells a vector visits when all vectors are compared (its own included), and in a search.
-PROBES, SEARCH_PROBES = 5, 160
+#: Cells a vector visits at least when all vectors are compared (its own included), and cells more for each doubling of the centroids.
+PROBES, MORE_PROBES = 6, 1.3
+#: Share of the cells that a search visits: neighbours that are hardly nearer than others lie in many cells.
+SEARCH_SHARE = 0.5
 
 
 @dataclass
@@ -36,6 +38,12 @@ class Codebook:
     halves: list[np.ndarray]
     parts: np.ndarray  # into how many parts each cell is split
 
+    def probes(self, wanted: int | None, all_visit: bool) -> int:
+        if wanted:
+            return wanted
+        k = len(self.halves[0])
+        return max(PROBES, round(MORE_PROBES * np.log2(k))) if all_visit else max(PROBES, round(SEARCH_SHARE * k * k))
+
 
 def usable_vectors(df: DataFrame, field: str, vector: str, model: str, order: str | None = None) -> DataFrame:
     """grp, id, at, vec: one row per row of `df`; grp is null where the vector can't be compared."""
@@ -100,7 +108,7 @@ def fit(vectors: DataFrame) -> dict[str, Codebook]:
 
 
 def _nearest_cells(d0: np.ndarray, d1: np.ndarray, n: int) -> list[list[int]]:
-    """The `n` cells nearest to each row by summed half distance, nearest first, taken from a heap."""
+    """The (at most) `n` cells nearest to each row by summed half distance, nearest first, taken from a heap."""
     k0, k1 = d0.shape[1], d1.shape[1]
     near0, near1 = np.argsort(d0, 1)[:, :n], np.argsort(d1, 1)[:, :n]
     sorted0, sorted1 = np.take_along_axis(d0, near0, 1).tolist(), np.take_along_axis(d1, near1, 1).tolist()
@@ -121,7 +129,7 @@ def _nearest_cells(d0: np.ndarray, d1: np.ndarray, n: int) -> list[list[int]]:
 _CODED = "grp string, id string, at timestamp_ntz, code binary, err float, home array<bigint>, visit array<bigint>"
 
 
-def _coder(books, probes: int, all_visit: bool):
+def _coder(books, probes: int | None, all_visit: bool):
     """Batches of (grp, id, at, vec, asks) to coded rows. A slot is a cell and one of its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +146,13 @@ def _coder(books, probes: int, all_visit: bool):
                 code = np.rint(unit * (127 / np.abs(unit).max(1, keepdims=True))).astype(np.int8)
                 err = np.linalg.norm(_unit(code) - unit, axis=1) + 1e-6
                 book = known.get(g)
-                cells = _nearest_cells(*[_distances(h, c) for h, c in zip(_halves(unit), book.halves)], probes) if book else [[0]] * len(at)
+                cells = [[0]] * len(at)
+                if book:
+                    far = [_distances(h, c) for h, c in zip(_halves(unit), book.halves)]
+                    cells = [[c] for c in (far[0].argmin(1) * far[1].shape[1] + far[1].argmin(1)).tolist()]
+                    going = np.flatnonzero(asks[at])
+                    for i, near in zip(going.tolist(), _nearest_cells(far[0][going], far[1][going], book.probes(probes, all_visit))):
+                        cells[i] = near
                 for i, c, e, near in zip(at.tolist(), code, err.tolist(), cells):
                     out["code"][i], out["err"][i] = c.tobytes(), e
                     parts = book.parts if book else None
@@ -173,7 +187,7 @@ def hash_part(key: str, n: int) -> int:
     return h % n
 
 
-def _coded(vectors: DataFrame, books, probes: int, all_visit: bool) -> DataFrame:
+def _coded(vectors: DataFrame, books, probes: int | None, all_visit: bool) -> DataFrame:
     return vectors.mapInArrow(_coder(books, probes, all_visit), _CODED)
 
 
@@ -223,7 +237,7 @@ def _state(coded: DataFrame) -> DataFrame:
     return first_per_key(coded, ["id"], [F.col("at").desc_nulls_last()])
 
 
-def similar_pairs(sources: list[tuple[DataFrame, bool]], min_cos: float, probes: int = PROBES) -> DataFrame:
+def similar_pairs(sources: list[tuple[DataFrame, bool]], min_cos: float, probes: int | None = None) -> DataFrame:
     """grp, a, b: pairs of different records of a group with cosine of at least `min_cos`, a < b.
 
     `sources` are outputs of usable_vectors, each with whether its rows are folded to the
@@ -280,7 +294,7 @@ def _top_in_slot(k: int):
     return run
 
 
-def nearest(sources: list[tuple[DataFrame, bool]], asks, k: int = 10, probes: int = SEARCH_PROBES) -> DataFrame:
+def nearest(sources: list[tuple[DataFrame, bool]], asks, k: int = 10, probes: int | None = None) -> DataFrame:
     """grp, query, rank_no, neighbor, cos: the `k` most similar vectors of every vector for which `asks` holds.
 
     `asks` is a column over the sources' rows. All rows are entries. cos is computed on the
