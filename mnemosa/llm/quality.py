@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemosa.llm import boosting
-from mnemosa.llm.quality_holdout import HOLDOUT
+from mnemosa.llm.quality_holdout import HOLDOUT, SEEDS
 from mnemosa.session import materialize
 
 #: Documents the classifier is fitted on at most, before weak labels are given.
 SAMPLE = 8_000
+#: How often each text labelled by hand for learning counts.
+SEED_WEIGHT = 6
 #: Common words taken from the table at most; the table is fixed.
 COMMON_WORDS = 10_000
 
@@ -22,7 +24,7 @@ COMMON_WORDS = 10_000
 WORD = r"[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*"
 LINE = r"(?m)^.*\S.*$"
 PUNCT_LINE = r"(?m)^.*[.!?…。！？][\"»”’')\]]*[ \t]*$"
-SYMBOL = r"[^\p{L}\p{M}\p{N}\s]"
+SYMBOL = r"[^\p{L}\p{M}\p{N}\p{Z}\s\x{85}]"
 MARKED = r"(?m)^[ \t\x{a0}]*(?:> ?)*(?:[-*+•·–—▪◦‣○●∙]|\[[ xX✓]?\]|[☐☑✓✗]|\(?\d{1,3}[.)\]:]|#\d{1,3}|\d{1,3} [-–]|\([a-zA-Z]\)|[a-zA-Z][.)])[ \t]+\S.*$"
 CELLS = (
     r"(?m)^(?:[^|\n]*+\|[^|\n]*+\|.*|[^\t\n]*+\t.*\S.*|(?:[^;\n]*+;(?! )){2,}.*|[^;\n]{0,40}+;(?! )[^; \n]++"
@@ -39,7 +41,7 @@ NO_VOWEL = r"(?i)\b[bcdfghjklmnpqrstvwxz]{4,}\b"
 FOREIGN = r"[\p{L}&&[^\p{IsLatin}]]"
 
 STATS = ("word_count", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share")
-EXTRA = ("lines", "words_a_line", "marked", "cells", "short", "ends_a_word", "broken", "mixed", "long_token", "hex", "no_vowel", "foreign", "digits", "letters", "lower_start", "even")
+EXTRA = ("lines", "words_a_line", "marked", "cells", "short", "ends_a_word", "broken", "mixed", "long_token", "hex", "no_vowel", "foreign", "digits", "letters", "lower_start", "even", "readable")
 
 
 def common_words(table: DataFrame) -> list[str]:
@@ -82,16 +84,19 @@ def features(documents: DataFrame, common: list[str]) -> DataFrame:
     rows = rows.withColumn("_words", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     count = lambda p: F.regexp_count("text", F.lit(p))
     lines, n, chars = count(LINE), F.size("_words"), F.length("text")
+    stats = _stats("text", "_words", common)
     extra = dict(
         lines=lines.cast("double"), words_a_line=_share(n, lines), marked=_share(count(MARKED), lines), cells=_share(count(CELLS), lines), short=_share(count(SHORT), lines),
         ends_a_word=_share(count(SENTENCE_END), n), broken=_share(count(BROKEN), chars), mixed=_share(count(MIXED), n), long_token=_share(chars - F.length(F.regexp_replace("text", r"[^\s-]{30,}", "")), chars),
         hex=_share(count(HEX), lines), no_vowel=_share(count(NO_VOWEL), n), foreign=_share(count(FOREIGN), chars), digits=_share(count(r"\p{N}"), chars), letters=_share(count(r"\p{L}"), chars),
         lower_start=_share(count(r"(?m)^[ \t]*\p{Ll}"), lines), even=_share(chars, lines * F.array_max(F.transform(F.split("text", "\n"), lambda x: F.length(x)))),
+        readable=F.greatest(stats[-1], _share(count(FOREIGN), chars)),
     )
-    return rows.select("doc_id", *_stats("text", "_words", common), *[extra[k].alias(k) for k in EXTRA])
+    return rows.select("doc_id", *stats, *[extra[k].alias(k) for k in EXTRA])
 
 
-NAMES = (*STATS, *EXTRA)
+#: What the trees see: a script without known common words is as readable as one with.
+NAMES = tuple(c for c in (*STATS, *EXTRA) if c != "common_word_share")
 
 
 def weak_label(f: dict[str, float]) -> str | None:
@@ -118,32 +123,37 @@ def weak_label(f: dict[str, float]) -> str | None:
     return votes.pop() if len(votes) == 1 else None
 
 
-def train(rows: DataFrame, spark_features_of_holdout: DataFrame) -> boosting.Boosted:
-    """Trees fitted on weakly labelled rows of a bounded sample, calibrated on the hand-checked holdout."""
+def train(rows: DataFrame, by_hand: DataFrame) -> boosting.Boosted:
+    """Trees fitted on weakly labelled rows of a bounded sample and the seeds, calibrated on the hand-checked holdout.
+
+    by_hand: features of HOLDOUT and then SEEDS, numbered from 0 by doc_id.
+    """
     n = max(1, rows.count())
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, SAMPLE / n)).select("doc_id", *NAMES).toPandas().sort_values("doc_id")
-    labels = [weak_label(r) for r in drawn[list(NAMES)].to_dict("records")]
+    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, SAMPLE / n)).select("doc_id", *STATS, *EXTRA).toPandas().sort_values("doc_id")
+    labels = [weak_label(r) for r in drawn[[*STATS, *EXTRA]].to_dict("records")]
     keep = [i for i, y in enumerate(labels) if y]
-    x, y = drawn[list(NAMES)].to_numpy(float)[keep], [labels[i] for i in keep]
-    held = spark_features_of_holdout.toPandas()
-    hx, hy = held[list(NAMES)].to_numpy(float), [HOLDOUT[int(i)][0] for i in held["doc_id"]]
-    missing = set(hy) - set(y)
-    if missing:  # a class the sample lacks is learned from the holdout
-        at = [i for i, c in enumerate(hy) if c in missing]
-        x, y = np.concatenate([x, hx[at]]) if len(y) else hx[at], [*y, *[hy[i] for i in at]]
-    model = boosting.fit(x, y)
-    known = [i for i, c in enumerate(hy) if c in model.classes]
-    model.calibrate(hx[known], [hy[i] for i in known])
+    hand = by_hand.toPandas().sort_values("doc_id")
+    known = [k for k, _ in (*HOLDOUT, *SEEDS)]
+    hx, hy = hand[list(NAMES)].to_numpy(float), [known[int(i)] for i in hand["doc_id"]]
+    held = (hand["doc_id"] < len(HOLDOUT)).to_numpy()
+    sx, sy = hx[~held], [y for y, h in zip(hy, held) if not h]
+    x = np.concatenate([drawn[list(NAMES)].to_numpy(float)[keep], *[sx] * SEED_WEIGHT])
+    model = boosting.fit(x, [labels[i] for i in keep] + sy * SEED_WEIGHT)
+    model.calibrate(hx[held], [y for y, h in zip(hy, held) if h])
     return model
 
 
-def classify(documents: DataFrame, common_table: DataFrame) -> DataFrame:
-    """doc_id, kind (list, table, junk or prose) and its calibrated probability; blank and null texts are left out."""
+def classify(documents: DataFrame, common_table: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
+    """doc_id, kind (list, table, junk or prose) and its calibrated probability; blank and null texts are left out.
+
+    The trees are fitted on a bounded sample of `fitted_on`, by default of the documents themselves.
+    """
     spark = documents.sparkSession
     common = common_words(common_table)
     rows = materialize(features(documents.select("doc_id", "text"), common))
-    held = features(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(HOLDOUT)], "doc_id bigint, text string"), common)
-    model = spark.sparkContext.broadcast(train(rows, held))
+    by_hand = features(spark.createDataFrame([(i, t) for i, (_, t) in enumerate((*HOLDOUT, *SEEDS))], "doc_id bigint, text string"), common)
+    basis = rows if fitted_on is None else materialize(features(fitted_on.select("doc_id", "text"), common))
+    model = spark.sparkContext.broadcast(train(basis, by_hand))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

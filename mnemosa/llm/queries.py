@@ -123,4 +123,13 @@ v AS (SELECT 'mg_entity_fact.embedding' AS field, {_KEY.format("uuid")} AS id, e
 u AS (SELECT * FROM v WHERE len(e) > 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0)
 SELECT a.field, a.id AS uuid_a, b.id AS uuid_b FROM u a JOIN u b ON a.field = b.field AND a.m = b.m AND len(a.e) = len(b.e) AND a.id < b.id
 WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
+    "p10_stats": """WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+l AS (SELECT *, list_filter(regexp_split_to_array(x, '\\r\\n|\\n|\\r|\\x{85}|\\x{2028}|\\x{2029}'), lambda s: regexp_matches(s, '[^\\s\\x0b]')) AS lines,
+  regexp_extract_all(lower(x), '[\\p{L}\\p{M}\\p{N}]+(?:[''’-][\\p{L}\\p{M}\\p{N}]+)*', 0) AS ws FROM t),
+c AS (SELECT list(DISTINCT lower(word)) AS cw FROM common_word WHERE word IS NOT NULL),
+n AS (SELECT doc_id, len(ws) AS word_count, length(x) AS chars, len(lines) AS n_lines, list_sum(list_transform(ws, lambda w: length(w))) AS letters,
+  length(regexp_replace(x, '[\\p{L}\\p{M}\\p{N}\\p{Z}\\s\\x0b\\x{85}]', '', 'g')) AS symbols,
+  len(list_filter(lines, lambda s: regexp_matches(s, '[.!?…。！？]["»”’)\\]]*[ \\t]*$'))) AS punct, len(list_filter(ws, lambda w: list_contains(cw, w))) AS known FROM l, c)
+SELECT doc_id, word_count, round(CASE WHEN word_count > 0 THEN letters / word_count ELSE 0 END, 6) AS mean_word_length, round(CASE WHEN chars > 0 THEN symbols / chars ELSE 0 END, 6) AS symbol_ratio,
+  round(CASE WHEN n_lines > 0 THEN punct / n_lines ELSE 0 END, 6) AS punct_line_share, round(CASE WHEN word_count > 0 THEN known / word_count ELSE 0 END, 6) AS common_word_share FROM n""",
 }
