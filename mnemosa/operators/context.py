@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemosa.functions import text as X
+from mnemosa.session import materialize
 
 HEADERS = {"profile": "User profile:", "session": "\nSession context:", "recalled": "\nRelevant context from memory:", "artifacts": "\nRelevant code/data:", "summaries": "\nRelevant past conversations:"}
 
@@ -56,7 +57,7 @@ def _section(lines: DataFrame, query: str, used: DataFrame, section: str, total:
     room = (F.least(left, F.lit(cap)) if cap is not None else left) - cost
     if cap is not None:
         rows = rows.filter(F.least(left, F.lit(cap)) > 0)
-    marked = take_within(rows, query, room, always)
+    marked = materialize(take_within(rows, query, room, always).drop("_used"))
     taken = marked.filter("_stopped = 0")
     spent = taken.groupBy(query).agg((F.sum("tokens") + cost).alias("_spent"))
     now = used.join(spent, query, "left").select(query, (F.col("_used") + F.coalesce("_spent", F.lit(0))).alias("_used"))

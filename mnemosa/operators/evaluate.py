@@ -10,17 +10,19 @@ from mnemosa.functions import text as X
 
 def score_answers(answers: DataFrame) -> DataFrame:
     """answers (question_id, category, predicted, truth, context, adversarial) with f1, exact_match, refusal and diagnostics."""
-    truth, seen, said = X.answer_tokens("truth", True), X.answer_tokens("context", True), X.answer_tokens("predicted", True)
-    rows = answers.withColumns(
+    # word lists first, as columns: inside a lambda an expression would be evaluated for every word
+    words = {"_p": X.answer_tokens("predicted"), "_t": X.answer_tokens("truth"), "_kt": X.answer_tokens("truth", True), "_kc": X.answer_tokens("context", True), "_kp": X.answer_tokens("predicted", True)}
+    rows = answers.withColumns(words)
+    rows = rows.withColumns(
         {
-            "f1": F.round(X.token_f1("predicted", "truth"), 6),
+            "f1": F.round(X.bag_f1(F.col("_p"), F.col("_t")), 6),
             "exact_match": X.normalized_answer("predicted") == X.normalized_answer("truth"),
             "refusal": X.is_refusal("predicted"),
-            "n_keywords": F.size(truth),
-            "n_in_context": X.bag_overlap(truth, seen),
-            "n_in_answer": X.bag_overlap(truth, said),
+            "n_keywords": F.size("_kt"),
+            "n_in_context": X.bag_overlap(F.col("_kt"), F.col("_kc")),
+            "n_in_answer": X.bag_overlap(F.col("_kt"), F.col("_kp")),
         }
-    )
+    ).drop(*words)
     share = lambda c: F.round(F.when(F.col("n_keywords") > 0, F.col(c) / F.col("n_keywords")).otherwise(0.0), 6)
     open_ = ~F.col("adversarial") & (F.col("n_keywords") > 0)
     miss = open_ & (F.col("n_in_context") == 0)
