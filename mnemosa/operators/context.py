@@ -148,3 +148,94 @@ def tag_cap(lines: DataFrame, query: str, share: float = 0.4) -> DataFrame:
 def window_turns(total: Column, used: Column, default: int) -> Column:
     """How many recent turns fit: one per 200 tokens left, at least 4, at most `default`."""
     return F.greatest(F.lit(4), F.least(F.lit(default), F.floor(F.greatest(total - used, F.lit(800)) / 200))).cast("int")
+
+
+@dataclass(frozen=True)
+class Tier:
+    """A section of the tiered context: its lines (query, position, line), and how it counts."""
+
+    name: str
+    tier: str
+    header: str
+    lines: DataFrame
+    personal: bool = False  # counts against the limit of personal facts
+    cap: int | None = None  # own limit of tokens
+
+
+# Headings of the tiered context.
+TIER_HEADERS = {
+    "identity": "[IDENTITY] Who this user is:", "emotional": "[EMOTIONAL STATE] Recent emotional context:", "threads": "[OPEN THREADS] Unresolved topics to follow up on:",
+    "verified": "[RECALLED CONTEXT — VERIFIED] Facts the user explicitly stated:", "inferred": "[RECALLED CONTEXT — INFERRED] Likely facts based on conversation patterns:",
+    "proactive": "[PROACTIVE CONTEXT] Consider naturally weaving in:", "session": "[SESSION CONTEXT] Current conversation:", "past": "[PAST CONVERSATIONS] Previous sessions:",
+}
+
+
+def _quoted(verbatim: str, lead: str) -> Column:
+    """What the user said, in quotes, where there is a verbatim."""
+    escaped = F.replace(verbatim, F.lit('"'), F.lit('\\"'))
+    return F.when(F.coalesce(verbatim, F.lit("")) != "", F.concat(F.lit(f'{lead}User said: "'), escaped, F.lit('"'))).otherwise("")
+
+
+def emotional_lines(facts: DataFrame, query: str, now: Column, floor: float = 0.3) -> DataFrame:
+    """facts (query, position, content, confidence, verbatim, created_at), newest first."""
+    c = F.coalesce("confidence", F.lit(0.5))
+    sure = F.when(c >= 0.8, ", confidence: high").when(c >= 0.5, ", confidence: medium").otherwise("")
+    line = F.concat(F.lit("- "), "content", F.lit(" ("), X.relative_date(F.col("created_at").cast("timestamp"), now), sure, F.lit(")"), _quoted("verbatim", "\n  "))
+    newest = Window.partitionBy(query).orderBy(F.desc("created_at"), "position")
+    return facts.filter(c >= floor).select(query, F.row_number().over(newest).alias("position"), line.alias("line"))
+
+
+def thread_lines(facts: DataFrame, query: str, now: Column, floor: float = 0.3) -> DataFrame:
+    """facts (query, position, content, confidence, tag, started_at)."""
+    began = F.when(F.coalesce("started_at", F.lit("")) != "", F.concat(F.lit(", started "), X.relative_date(F.try_to_timestamp("started_at"), now))).otherwise("")
+    tag = F.when(F.coalesce("tag", F.lit("")) == "", "General").otherwise(F.col("tag"))
+    line = F.concat(F.lit("- "), tag, F.lit(": "), "content", F.lit(" (still open"), F.coalesce(began, F.lit("")), F.lit(")"))
+    return facts.filter(F.coalesce("confidence", F.lit(0.5)) >= floor).select(query, "position", line.alias("line"))
+
+
+def recalled_lines(facts: DataFrame, query: str, verified: bool, floor: float = 0.3) -> DataFrame:
+    """facts (query, position, content, confidence, verbatim): those said outright, or those only likely, hedged."""
+    c = F.coalesce("confidence", F.lit(0.5))
+    rows = facts.filter((c >= floor) & ((c >= 0.8) if verified else (c < 0.8)))
+    lowered = F.concat(F.lower(F.substring("content", 1, 1)), F.substring("content", 2, 1 << 30))
+    said = F.col("content") if verified else F.concat(F.when(c >= 0.5, "May be ").otherwise("Possibly "), lowered)
+    line = F.concat(F.lit("- "), said, F.lit(" (confidence: "), F.format_number(c, 1), F.lit(")"), _quoted("verbatim", " | "))
+    return rows.select(query, "position", line.alias("line"))
+
+
+def _cost(words: Column) -> Column:
+    return F.ceil(words * F.lit(1.3))
+
+
+def tiered_context(queries: DataFrame, query: str, sections: list[Tier], total: int = 4000, most_personal: int | None = None) -> DataFrame:
+    """query, tier, section, position, line: sections one after the other under one budget.
+
+    A section takes lines until one doesn't fit; what it used is estimated on its whole text.
+    Sections of one tier that follow each other count as one text.
+    """
+    used = queries.select(query).distinct().withColumns({"_done": F.lit(0).cast("bigint"), "_words": F.lit(0), "_personal": F.lit(0)})
+    tier, out = None, []
+    for s in sections:
+        if s.tier != tier:  # the text so far is closed
+            used = used.withColumns({"_done": F.col("_done") + _cost(F.col("_words")), "_words": F.lit(0)})
+            tier = s.tier
+        head = len(s.header.split())
+        rows = s.lines.join(used, query)
+        left = F.lit(total) - F.col("_done") - _cost(F.col("_words"))
+        room = (F.least(left, F.lit(s.cap)) if s.cap is not None else left) - -(-13 * head // 10)
+        if s.personal and most_personal is not None:
+            nth = F.row_number().over(Window.partitionBy(query).orderBy("position"))
+            rows = rows.withColumn("_nth", nth + F.col("_personal")).filter(F.col("_nth") <= most_personal).drop("_nth")
+        marked = take_within(rows.select(query, "position", "line", room.alias("_room")), query, F.col("_room"))
+        taken = materialize(marked.filter("_stopped = 0").select(query, F.lit(s.tier).alias("tier"), F.lit(s.name).alias("section"), "position", "line"))
+        out.append(taken)
+        words = F.size(F.filter(F.split("line", r"\s+"), lambda w: w != ""))
+        spent = taken.groupBy(query).agg((F.sum(words) + head).cast("int").alias("_w"), F.count(F.lit(1)).cast("int").alias("_n"))
+        used = used.join(spent, query, "left")
+        used = used.select(
+            query, "_done", (F.col("_words") + F.coalesce("_w", F.lit(0))).alias("_words"), (F.col("_personal") + (F.coalesce("_n", F.lit(0)) if s.personal else F.lit(0))).alias("_personal")
+        )
+    lines = out[0]
+    for r in out[1:]:
+        lines = lines.unionByName(r)
+    return lines

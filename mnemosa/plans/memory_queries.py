@@ -354,6 +354,27 @@ def context_identity(spark, sf):
     return C.identity_section(profile, "entity_id", 120).select("entity_id", "line_no", "tag", F.md5("line").alias("digest"))
 
 
+@query
+def context_tiers(spark, sf):
+    """Every entity's tiered context within 300 tokens: feelings, threads, recalled facts, triggers, past conversations."""
+    facts, talks = facts_of(spark, sf), conversations_of(spark, sf)
+    now = as_of().cast("timestamp")
+    pick = lambda df: df.select("entity_id", F.col("rank_no").alias("position"), "content", "confidence", "verbatim", "tag", "started_at", "created_at")
+    recalled = pick(S.list_facts(facts, 20))
+    past = S.summaries(talks, 10).select("entity_id", F.col("rank_no").alias("position"), F.concat(F.lit("- ["), X.relative_date(F.col("created_at").cast("timestamp"), now), F.lit("] "), "summary").alias("line"))
+    raised = P.proactive(facts, as_of(), gated=False).select("entity_id", F.col("rank_no").alias("position"), F.concat(F.lit("- ["), "kind", F.lit("] "), "content").alias("line"))
+    h = C.TIER_HEADERS
+    sections = [
+        C.Tier("emotional", "emotional", h["emotional"], C.emotional_lines(pick(S.list_facts(facts, 5, FactFilter(valences=P.HARD))), "entity_id", now), True),
+        C.Tier("threads", "proactive", h["threads"], C.thread_lines(pick(S.open_threads(facts, 5)), "entity_id", now), True),
+        C.Tier("verified", "episodic", h["verified"], C.recalled_lines(recalled, "entity_id", True)),
+        C.Tier("inferred", "episodic", h["inferred"], C.recalled_lines(recalled, "entity_id", False)),
+        C.Tier("proactive", "raised", h["proactive"], raised),
+        C.Tier("past", "past", h["past"], past, cap=60),
+    ]
+    return C.tiered_context(facts, "entity_id", sections, 300, 8)
+
+
 @query
 def answers_scored(spark, sf):
     """Verbatims scored as answers to their facts' contents."""

@@ -186,6 +186,21 @@ def test_identity_section_goes_on_with_later_tags(spark):
     assert got == [("work", "- a (verified)"), ("home", '- b (likely) | User said: "said \\"b\\""')]
 
 
+def test_tiered_context(spark):
+    rows = [("q", i, t, c, v, "", None, T0) for i, (t, c, v) in enumerate([("Likes tea", 0.9, 'I "love" it'), ("Owns a cat", 0.6, None), ("Sings", 0.4, ""), ("Lies", 0.1, None)], 1)]
+    facts = spark.createDataFrame(rows, "q string, position int, content string, confidence double, verbatim string, tag string, started_at string, created_at timestamp")
+    h = C.TIER_HEADERS
+    make = lambda total, most: [
+        (r.section, r.line)
+        for r in C.tiered_context(facts, "q", [C.Tier("threads", "p", h["threads"], C.thread_lines(facts, "q", now()), True), C.Tier("verified", "e", h["verified"], C.recalled_lines(facts, "q", True)), C.Tier("inferred", "e", h["inferred"], C.recalled_lines(facts, "q", False))], total, most).orderBy("tier", "section", "position").collect()
+    ]
+    got = make(4000, 1)
+    assert ("threads", "- General: Likes tea (still open)") in got and sum(s == "threads" for s, _ in got) == 1
+    assert ("verified", '- Likes tea (confidence: 0.9) | User said: "I \\"love\\" it"') in got
+    assert ("inferred", "- May be owns a cat (confidence: 0.6)") in got and ("inferred", "- Possibly sings (confidence: 0.4)") in got and not any("Lies" in x or "lies" in x for _, x in got)
+    assert [s for s, _ in make(30, 9)] == ["threads"] * 2 and make(5, 9) == []
+
+
 def test_model_steps(spark):
     answers = ['[{"content": "x", "significance": 99}]', '```json\n[{"content": "y", "tag": "Odd"}]\n```', 'Sure: [{"content": "z"}] ok', '{"content": "w"} junk {"content": "v"', "nothing"]
     got = [[f.content for f in r[0] or []] for r in spark.createDataFrame([(a,) for a in answers], "a string").select(M.parse_list("a")).collect()]
