@@ -6,16 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemosa.functions import text as X
+from mnemosa.operators.chunks import CHUNK, range_chunks, with_rank
 from mnemosa.operators.recall import micros
 
 
 def sessionize(touches: DataFrame, user: str, time: str, timeout_minutes: int = 30) -> DataFrame:
-    """user, session_no, started_at, expires_at, n_touches: sessions that slide with each touch; a touch at the very end begins a new one."""
-    by = Window.partitionBy(user).orderBy(time)
-    gap = timeout_minutes * 60_000_000
-    new = F.coalesce((micros(time) - micros(F.lag(time).over(by)) >= gap).cast("int"), F.lit(1))
-    marked = touches.filter(F.col(user).isNotNull() & F.col(time).isNotNull()).withColumn("_new", new)
-    numbered = marked.withColumn("session_no", F.sum("_new").over(by.rangeBetween(Window.unboundedPreceding, 0)))
+    """user, session_no, started_at, expires_at, n_touches: sessions that slide with each touch; a touch at the very end begins a new one.
+
+    A user of any size is spread over range chunks; the last touch before a chunk and the
+    number of sessions begun before it are carried by a table with one row per user and chunk.
+    Touches without user or time belong to no session.
+    """
+    rows = touches.select(user, time).filter(F.col(user).isNotNull() & F.col(time).isNotNull())
+    chunked = range_chunks(rows, [user], [time])
+    across = Window.partitionBy(user).orderBy(CHUNK)
+    local = Window.partitionBy(user, CHUNK).orderBy(time)
+    edges = chunked.groupBy(user, CHUNK).agg(F.max(time).alias("_last")).select(user, CHUNK, F.lag("_last").over(across).alias("_edge"))
+    gap = micros(time) - micros(F.coalesce(F.lag(time).over(local), F.col("_edge")))
+    marked = chunked.join(edges, [user, CHUNK]).withColumn("_new", F.coalesce((gap >= timeout_minutes * 60_000_000).cast("int"), F.lit(1)))
+    begun = marked.groupBy(user, CHUNK).agg(F.sum("_new").alias("_n"))
+    begun = begun.select(user, CHUNK, F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.sum("_new").over(local.rangeBetween(Window.unboundedPreceding, 0))
+    numbered = marked.join(begun, [user, CHUNK]).withColumn("session_no", number)
     out = numbered.groupBy(user, "session_no").agg(F.min(time).alias("started_at"), F.max(time).alias("_last"), F.count(F.lit(1)).alias("n_touches"))
     return out.select(user, "session_no", "started_at", (F.col("_last") + F.expr(f"INTERVAL {timeout_minutes} MINUTE")).alias("expires_at"), "n_touches")
 
@@ -82,6 +94,6 @@ def overview_merges(turns: DataFrame, most: int = 3, oldest: int = 2) -> DataFra
 
 def chunks_of_turns(messages: DataFrame, size: int = 8) -> DataFrame:
     """conversation_id, chunk_no, n_messages: `size` messages each, in order, for extraction."""
-    by = Window.partitionBy("conversation_id").orderBy("created_at", "uuid")
-    numbered = messages.withColumn("chunk_no", F.floor((F.row_number().over(by) - 1) / size))
+    ranked = with_rank(range_chunks(messages.select("conversation_id", "created_at", "uuid"), ["conversation_id"], ["created_at", "uuid"]), ["conversation_id"], ["created_at", "uuid"])
+    numbered = ranked.withColumn("chunk_no", F.floor((F.col("rank") - 1) / size))
     return numbered.groupBy("conversation_id", "chunk_no").agg(F.count(F.lit(1)).alias("n_messages"))

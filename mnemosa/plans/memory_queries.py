@@ -299,10 +299,11 @@ def slot_supersede(spark, sf):
 
 @query
 def semantic_dedup(spark, sf):
-    """Each fact's closest other fact of its entity, where they are as good as one."""
-    facts = facts_of(spark, sf).filter("embedding IS NOT NULL AND embedding_model <> '' AND slot <> ''")
-    new = facts.select("entity_id", F.col("uuid").alias("new_id"), F.col("embedding").alias("vec"))
-    return Q.best_match(new, facts.select("entity_id", F.col("uuid").alias("old_id"), F.col("embedding").alias("vec"), "created_at"), 0.5)
+    """The fact closest to each slot's newest one, among all of its entity, if it is at all alike."""
+    facts = facts_of(spark, sf).filter("embedding IS NOT NULL AND embedding_model <> ''")
+    newest = S.first_in_group(facts.filter("slot <> ''"), ["entity_id", "slot"], [F.desc("created_at"), F.asc("uuid")], 1)
+    new = newest.select("entity_id", F.col("uuid").alias("new_id"), F.col("embedding").alias("vec"))
+    return Q.best_match(new, facts.select("entity_id", F.col("uuid").alias("old_id"), F.col("embedding").alias("vec"), "created_at"), 0.4)
 
 
 @query

@@ -224,9 +224,10 @@ SQL = {
     "recall_usage": "SELECT user_id AS uuid, count(*) AS recalls, max(ts) AS last_recalled_at FROM events GROUP BY 1",
     "slot_supersede": f"""WITH {FACTS}, n AS (SELECT entity_id, slot, arg_max(uuid, (created_at, -no)) AS newer FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, slot ORDER BY created_at DESC, uuid) AS no FROM f WHERE fact_type = 'identity' AND slot <> '') WHERE no = 1 GROUP BY ALL)
       SELECT entity_id, slot, uuid, newer AS superseded_by FROM f JOIN n USING (entity_id, slot) WHERE fact_type = 'identity' AND temporal_status = 'current' AND uuid <> newer""",
-    "semantic_dedup": f"""WITH {FACTS}, v AS (SELECT * FROM f WHERE embedding IS NOT NULL AND embedding_model <> '' AND slot <> ''),
-      p AS (SELECT a.entity_id, a.uuid AS new_id, b.uuid AS old_id, b.created_at, round({cosine("a.embedding", "b.embedding")}, 6) AS cos FROM v a JOIN v b ON a.entity_id = b.entity_id AND a.uuid <> b.uuid)
-      SELECT entity_id, new_id, old_id, cos FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, new_id ORDER BY cos DESC, created_at DESC, old_id) AS no FROM p WHERE cos >= 0.5) WHERE no = 1""",
+    "semantic_dedup": f"""WITH {FACTS}, v AS (SELECT * FROM f WHERE embedding IS NOT NULL AND embedding_model <> ''),
+      n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, slot ORDER BY created_at DESC, uuid) AS no FROM v WHERE slot <> '') WHERE no = 1),
+      p AS (SELECT a.entity_id, a.uuid AS new_id, b.uuid AS old_id, b.created_at, round({cosine("a.embedding", "b.embedding")}, 6) AS cos FROM n a JOIN v b ON a.entity_id = b.entity_id AND a.uuid <> b.uuid)
+      SELECT entity_id, new_id, old_id, cos FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, new_id ORDER BY cos DESC, created_at DESC, old_id) AS no FROM p WHERE cos >= 0.4) WHERE no = 1""",
     "consolidation_groups": f"""WITH {FACTS}, p AS (SELECT *, row_number() OVER ({NEWEST}) AS no FROM f WHERE fact_type = 'event' AND temporal_status = 'current' AND {ALIVE} AND reference_time <= '2024-01-02' AND significance <= 10)
       SELECT entity_id, CASE WHEN tag = '' THEN '_untagged' ELSE tag END AS tag, count(*) AS n_facts, md5('- ' || string_agg(content, chr(10) || '- ' ORDER BY content)) AS digest FROM p WHERE no <= 500 GROUP BY 1, 2 HAVING count(*) >= 2""",
     "sessions_30m": """WITH a AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
