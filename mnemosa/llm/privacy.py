@@ -9,6 +9,7 @@ votes and pairs of votes, fitted to those probabilities, gives the final decisio
 
 from __future__ import annotations
 
+import copy
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -22,11 +23,11 @@ from mnemosa.llm import privacy_rules as R
 from mnemosa.session import materialize
 
 KINDS = ("EMAIL", "ADDRESS", "PHONE", "ID", "NAME")
-#: Family names are learned from at most this many texts.
-LEXICON_TEXTS = 60_000
+#: Beyond so many learned family names each text gets those it contains by a join, not all by broadcast.
+LEXICON_MOST = 200_000
 #: A family name is learned from so many different texts at least.
 LEXICON_LEAST = 2
-#: A word is common if this share of the sampled texts has it in lower case.
+#: A word is common if this share of the different texts has it in lower case.
 COMMON_SHARE = 0.001
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
@@ -68,9 +69,21 @@ class Scanner:
         self.given = frozenset(g.lower() for g in given)
         self.given_words = frozenset(w for g in self.given for w in _TOKEN.findall(g))
         self.family = frozenset(family)
-        self.stop = R.STOP | R.INTRO_WORDS | frozenset(common) - self.given - self.family
+        self.common = frozenset(common) - self.given
+        self.stop = R.STOP | R.INTRO_WORDS | self.common - self.family
         self.seeds = self.given_words | self.family
 
+    def within(self, known: Iterable[str]) -> Scanner:
+        """This scanner with the family names `known`; for one text those it contains do for the whole lexicon."""
+        if not known:
+            return self
+        other = copy.copy(self)
+        other.family = frozenset(known)
+        other.seeds = self.given_words | other.family
+        if not other.family.isdisjoint(self.common):
+            other.stop = R.STOP | R.INTRO_WORDS | self.common - other.family
+        return other
+
     # names -----------------------------------------------------------------------------
 
     def _surname(self, text: str, at: int, model: str, eager: bool) -> tuple[int, bool]:
@@ -180,9 +193,10 @@ class Scanner:
         family: Counter = Counter()
         common: Counter = Counter()
         for text in texts:
-            common.update({w for w in _TOKEN.findall(text) if w.islower()})
+            words = set(_TOKEN.findall(text))
+            common.update(filter(str.islower, words))
             mine = set()
-            if not self.given_words.isdisjoint(_TOKEN.findall(text.lower())):
+            if not self.given_words.isdisjoint(map(str.lower, words)):
                 for m in _TOKEN.finditer(text):
                     if m.group(0).lower() in self.given and m.group(0).istitle():
                         s, e, _ = self._name_at(text, m.start(), m.end())
@@ -320,22 +334,50 @@ def resolve(spans: list[tuple[str, int, int, str]], scores: dict[tuple[str, str]
 _FOUND = "field string, uuid string, text string, spans array<struct<kind:string,s:int,e:int,votes:string>>"
 
 
-def build_scanner(texts: DataFrame, given_names: DataFrame) -> Scanner:
-    """A scanner with the family names learned from a bounded sample of `texts` (text)."""
+def build_scanner(texts: DataFrame, given_names: DataFrame) -> tuple[Scanner, DataFrame | None]:
+    """A scanner with the lexicon learned from all different `texts` (text), and the family names (word) if they are too many for it.
+
+    Common words are in so large a share of the texts that their number is bounded by
+    1 / COMMON_SHARE times the mean number of words of a text.
+    """
     names = [r.name for r in given_names.filter("name IS NOT NULL").select("name").distinct().limit(100_000).collect()]
-    scanner = Scanner(names)
-    n = max(1, texts.count())
-    drawn = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (1 << 20) * min(1.0, 0.8 * LEXICON_TEXTS / n)).limit(LEXICON_TEXTS)
-    hits = drawn.select("text").mapInArrow(_learner(scanner), "word string, family bigint, common bigint").groupBy("word").agg(F.sum("family").alias("family"), F.sum("common").alias("common"))
-    least = max(LEXICON_LEAST, COMMON_SHARE * min(n, 0.8 * LEXICON_TEXTS))
-    hits = hits.filter((F.col("family") >= LEXICON_LEAST) | (F.col("common") >= least)).limit(100_000).collect()
-    return Scanner(names, [r.word for r in hits if r.family >= LEXICON_LEAST and r.family > r.common / 4], [r.word for r in hits if r.common >= least])
+    counted = texts.select("text").distinct().mapInArrow(_learner(Scanner(names)), "word string, family bigint, common bigint")
+    hits = materialize(counted.groupBy("word").agg(F.sum("family").alias("family"), F.sum("common").alias("common")).filter((F.col("family") >= LEXICON_LEAST) | (F.col("common") >= LEXICON_LEAST)))
+    n = sum(r.common for r in hits.filter("word = ''").collect())
+    common = [r.word for r in hits.filter((F.col("word") != "") & (F.col("common") >= max(LEXICON_LEAST, COMMON_SHARE * n))).collect()]
+    family = hits.filter((F.col("family") >= LEXICON_LEAST) & (F.col("family") > F.col("common") / 4)).select("word")
+    most = family.limit(LEXICON_MOST + 1).collect()
+    if len(most) > LEXICON_MOST:
+        return Scanner(names, (), common), family
+    return Scanner(names, [r.word for r in most], common), None
+
+
+def with_known(texts: DataFrame, family: DataFrame | None) -> DataFrame:
+    """`texts` with `known`, the family names each contains, where they are too many for the scanner; else as it is."""
+    if family is None:
+        return texts
+    words = texts.filter("text IS NOT NULL").select(F.md5("text").alias("_id"), "text").distinct().mapInArrow(_worder, "_id string, word string")
+    known = words.join(family, "word").groupBy("_id").agg(F.collect_set("word").alias("known"))
+    return texts.withColumn("_id", F.md5("text")).join(known, "_id", "left").drop("_id")
+
+
+def _worder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, words = [], []
+        for i, text in zip(b.column("_id").to_pylist(), b.column("text").to_pylist()):
+            mine = {w.lower() for w in _TOKEN.findall(text)}
+            ids += [i] * len(mine)
+            words += mine
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words, pa.string())], names=["_id", "word"])
 
 
 def _learner(scanner: Scanner):
+    """Counts of words by batch; the word '' counts the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             family, common = scanner.learn(b.column("text").to_pylist())
+            common[""] = b.num_rows
             words = list(family.keys() | common.keys())
             counts = [pa.array([c[w] for w in words], pa.int64()) for c in (family, common)]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *counts], names=["word", "family", "common"])
@@ -343,12 +385,20 @@ def _learner(scanner: Scanner):
     return run
 
 
+def _scanned(b: pa.RecordBatch, scanner: Scanner) -> Iterator[tuple[str, list[tuple[str, int, int, str]]]]:
+    """Each text of the batch with its candidates."""
+    texts = b.column("text").to_pylist()
+    known = b.column("known").to_pylist() if "known" in b.schema.names else [None] * len(texts)
+    for text, mine in zip(texts, known):
+        yield text, (scanner.within(mine) if mine else scanner).scan(text)
+
+
 def _finder(scanner):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, spans = [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                if found := scanner.value.scan(text):
+            for i, (_, found) in enumerate(_scanned(b, scanner.value)):
+                if found:
                     at.append(i)
                     spans.append([{"kind": k, "s": s, "e": e, "votes": v} for k, s, e, v in found])
             if at:
@@ -388,25 +438,27 @@ def find_personal(texts: DataFrame, given_names: DataFrame) -> DataFrame:
     """field, uuid, kind, found_text: each different item of each record, as written.
 
     `texts` has field, uuid, text. Null and empty texts have no items; texts of any length
-    are read whole. No shuffle but the final distinct over the items.
+    are read whole. Shuffles: the distinct texts the lexicon is learned from, its counts,
+    and the final distinct over the items; the texts once more where the lexicon must be joined.
     """
     texts = texts.filter("text IS NOT NULL AND text <> ''")
-    found = candidates(texts, build_scanner(texts, given_names))
+    scanner, family = build_scanner(texts, given_names)
+    found = candidates(with_known(texts, family), scanner)
     return found.mapInArrow(_chooser(reliabilities(found)), "field string, uuid string, kind string, found_text string").distinct()
 
 
 def redact(texts: DataFrame, given_names: DataFrame) -> DataFrame:
     """field, uuid, text with each item replaced by its placeholder; other text unchanged, null stays null."""
     usable = texts.filter("text IS NOT NULL AND text <> ''")
-    scanner = build_scanner(usable, given_names)
-    scores = reliabilities(candidates(usable, scanner))
+    scanner, family = build_scanner(usable, given_names)
+    scores = reliabilities(candidates(with_known(usable, family), scanner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [t and replace(t, resolve(scanner.scan(t), scores)) for t in b.column("text").to_pylist()]
+            out = [t and replace(t, resolve(spans, scores)) for t, spans in _scanned(b, scanner)]
             yield pa.RecordBatch.from_arrays([b.column("field"), b.column("uuid"), pa.array(out, pa.string())], names=["field", "uuid", "text"])
 
-    return texts.select("field", "uuid", "text").mapInArrow(run, "field string, uuid string, text string")
+    return with_known(texts.select("field", "uuid", "text"), family).mapInArrow(run, "field string, uuid string, text string")
 
 
 def replace(text: str, items: list[tuple[str, int, int]]) -> str:

@@ -199,6 +199,27 @@ def test_spans_round_trip_and_long_text():
     assert estimate({}) == {}
 
 
+def test_family_names_from_all_texts(spark, monkeypatch):
+    import mnemosa.llm.privacy as P
+
+    letters = "abcdefghij"
+    families = [f"Korov{letters[i // 10]}{letters[i % 10]}r" for i in range(40)]
+    rows = [t for n in families for t in (f"My name is Tamolt {n}.", f"I met Velna {n} again.", f"The form says Casilde {n} from the north.")]
+    rows += ["You met Tamolt Bogusson."] * 3
+    filler = spark.range(100_000).selectExpr("'f' AS field", "concat('n', id) AS uuid", "concat('the ', id, ' rows were counted') AS text")
+    df = spark.createDataFrame([("f", f"r{i}", t) for i, t in enumerate(rows)], "field string, uuid string, text string").unionByName(filler)
+    names = spark.createDataFrame([(g,) for g in GIVEN], "name string")
+    scanner, family = P.build_scanner(df, names)
+    assert scanner.family == {n.lower() for n in families} and family is None and {"rows", "were", "counted"} <= scanner.common
+    found = {tuple(r) for r in find_personal(df, names).collect()}
+    assert {f"Casilde {n}" for n in families} <= {x[3] for x in found}
+    red = {tuple(r) for r in redact(df, names).collect()}
+    monkeypatch.setattr(P, "LEXICON_MOST", 10)
+    assert P.build_scanner(df, names)[1].count() == 40
+    assert {tuple(r) for r in find_personal(df, names).collect()} == found
+    assert {tuple(r) for r in redact(df, names).collect()} == red
+
+
 # 8 -----------------------------------------------------------------------------------------
 
 
