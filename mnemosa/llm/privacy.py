@@ -31,7 +31,9 @@ LEXICON_LEAST = 2
 COMMON_SHARE = 0.001
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
-_LONG_NUMBER = re.compile(r"\d(?:[ ().\-/]{0,3}\d){6,}|\d{2} \d{2} \d{2}|[A-Za-z]\d\d[A-Za-z]\d{4}|\d{2} ?\d{6}")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Letters that re.I takes for ASCII ones but str.lower leaves.
+_FOLDED = str.maketrans("İıſ", "iis")
 
 
 def _before(words: str) -> re.Pattern:
@@ -62,6 +64,23 @@ _DIGIT = re.compile(r"\d")
 _DATE = re.compile(r"(?:19|20)\d\d[-./ ]?[01]\d[-./ ]?[0-3]\d\b.*")
 
 
+def hints(text: str) -> dict[str, bool]:
+    """Which patterns can match in the text at all. Each condition holds wherever its pattern matches."""
+    low = (text if text.isascii() else text.translate(_FOLDED)).lower()
+    listed = _WORD.findall(low)
+    words = set(listed)
+    digits = len(_DIGIT.findall(text))
+    return {
+        "EMAIL": "@" in text or not words.isdisjoint(R.DOT_WORDS) or not words.isdisjoint(R.AT_WORDS) and any(b in text for b in "([{"),
+        "ADDRESS": digits > 0 and (not words.isdisjoint(R.STREET_WORDS) or any(p in low for p in R.STREET_PARTS) or any(w.endswith(R.STREET_ENDINGS) for w in words)),
+        "PHONE": digits >= 9,
+        "ID": digits >= 5,
+        "SPOKEN": not words.isdisjoint(R.NUMBER_WORDS) and sum(w in R.NUMBER_WORDS for w in listed) >= 7,
+        "INTRO": not words.isdisjoint(R.TITLE_WORDS) or any(p in low for p in R.INTRO_PARTS),
+        "STILL": "still living" in text,
+    }
+
+
 class Scanner:
     """Finds candidate spans and their votes in a text. Plain data, so that it can be sent to workers."""
 
@@ -129,9 +148,9 @@ class Scanner:
                 return start - 2 - len(word), end, known
         return start, end, False
 
-    def _names(self, text: str, words: set[str], taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    def _names(self, text: str, can: dict[str, bool], taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
         found: dict[tuple[int, int], tuple[bool, bool]] = {}
-        if not words.isdisjoint(self.seeds):
+        if not self.seeds.isdisjoint(map(str.lower, _TOKEN.findall(text))):
             for m in _TOKEN.finditer(text):
                 word, s, e = m.group(0).lower(), m.start(), m.end()
                 if word not in self.given and word not in self.family:
@@ -155,12 +174,12 @@ class Scanner:
                     e = ahead.end(1)
                 found.setdefault((s, e), (False, True))
         intros = []
-        if not words.isdisjoint(R.INTRO_WORDS):
+        if can["INTRO"]:
             intros += [m.span(1) for m in _INTRO.finditer(text)]
-        if "living" in words:
+        if can["STILL"]:
             intros += [m.span(1) for m in _STILL.finditer(text)]
         for s, e in intros:
-            if text[s:e].lower() in self.stop or any(a <= s < b for a, b in [*found, *taken]):
+            if text[s:e].lower() in self.stop or text[max(0, s - 3) : s] == " m " or any(a <= s < b for a, b in [*found, *taken]):
                 continue
             if e - s == 1:
                 stop, known = self._surname(text, e + 1, text[s:e], False) if text[e : e + 1] == "." else (e, False)
@@ -215,8 +234,8 @@ class Scanner:
             return []
         spans: list[tuple[str, int, int, str]] = []
         low = text.lower()
-        words = set(_TOKEN.findall(low))
-        if "@" in text or "dot" in words or "(at)" in low or "[at]" in low or "punto" in words or "punkt" in words:
+        can = hints(text)
+        if can["EMAIL"]:
             for m in R.EMAIL.finditer(text):
                 item = m.group(0)
                 ending = re.split(r"[^\w]+", item)[-1].lower()
@@ -224,8 +243,7 @@ class Scanner:
                 valid = "-" if ending in R.FILE_ENDINGS or not ending.isalpha() or len(ending) < 2 else "+"
                 left = "+" if _LEFT["EMAIL"].search(text[max(0, m.start() - 60) : m.start()]) else "0"
                 spans.append(("EMAIL", m.start(), m.end(), plain + valid + left))
-        digits = _DIGIT.search(text) is not None
-        if digits and (not words.isdisjoint(R.STREET_WORDS) or "c/" in low or any(w.endswith(R.STREET_ENDINGS) for w in words)):
+        if can["ADDRESS"]:
             for m in R.ADDRESS.finditer(text):
                 s, e = m.start(), m.end()
                 item = text[s:e].rstrip(" ,.") if not re.search(r"\b(?:og|rd|st|ave|str)\.$", text[s:e], re.I) else text[s:e].rstrip(" ,")
@@ -242,8 +260,8 @@ class Scanner:
                 if odd == "-" and left == "0" and place == "0":
                     continue
                 spans.append(("ADDRESS", s, s + len(item), number + named + odd + place + left))
-        if digits and _LONG_NUMBER.search(text):
-            for kind, pattern in (("PHONE", R.PHONE), ("ID", R.ID)):
+        for kind, pattern in (("PHONE", R.PHONE), ("ID", R.ID)):
+            if can[kind]:
                 for m in pattern.finditer(text):
                     item, s, e = m.group(0), m.start(), m.end()
                     bare = sum(c.isdigit() for c in item)
@@ -262,11 +280,11 @@ class Scanner:
                     else:
                         shape = "+" if re.search(r"[a-z]", item, re.I) or re.fullmatch(r"\d{3}[ -]\d{2}[ -]\d{4}|\d{2}[ -]\d{4}[ -]\d{4}", item) or bare in (13, 15) or re.fullmatch(r"\d{2} \d{2,3} \d{3} \d{3,4}|\d{9}|\d{11}", item) else "0"
                     spans.append((kind, s, e, shape + mine + other + against))
-        if len(words.intersection(R.NUMBER_WORDS)) > 1:
+        if can["SPOKEN"]:
             for m in R.SPOKEN.finditer(text):
                 left = text[max(0, m.start() - 40) : m.start()]
                 spans.append(("PHONE", m.start(), m.end(), "+" + ("+" if _LEFT["PHONE"].search(left) else "0") + "0" + ("-" if _AGAINST.search(left) else "0")))
-        spans += [("NAME", *n) for n in self._names(text, words, [(s, e) for k, s, e, _ in spans if k in ("EMAIL", "ADDRESS")])]
+        spans += [("NAME", *n) for n in self._names(text, can, [(s, e) for k, s, e, _ in spans if k in ("EMAIL", "ADDRESS")])]
         return spans
 
 

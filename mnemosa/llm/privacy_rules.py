@@ -6,7 +6,7 @@ import re
 
 # Words that announce a kind of item on its left, in English, German, French and Spanish.
 NAME_INTRO = (
-    r"name(?:'s| is|:)|called|named|i am called|this is|je m'appelle|ich heiße|me llamo|(?:married|engaged|related) to|held by|belongs to|owned by|signed by|"
+    r"name(?:'s| is|:)|called|named|i am called|this is|je m'appelle|ich heiße|me llamo|married to|engaged to|related to|held by|belongs to|owned by|signed by|"
     r"contact(?: person)?(?: is|:)|\"contact\": \"|colleague|can reach|ask for|ran into|pregunta por|llama a|demandez|appelle|appelez|"
     r"fragen sie bitte nach|fragen sie nach|ruf|best,|regards,|cheers,|thx,|thanks,|grüße,|cordialement,|saludos,|un saludo,|atentamente,"
 )
@@ -51,10 +51,10 @@ STOP = frozenset(
 )
 FILE_ENDINGS = frozenset("png jpg jpeg gif svg md txt pdf ics gz zip xlsx docx csv json py js html log yaml yml".split())
 PARTICLES = r"(?:mc|mac|van der|van den|van|von der|von|de|del|della|da|di|dos|el|al|ben|bin|ter|zu)"
-NUMBER_WORDS = (
+NUMBER_WORDS = frozenset((
     "zero oh one two three four five six seven eight nine double triple null eins zwo zwei drei vier fünf sechs sieben acht neun "
     "zéro un deux trois quatre cinq six sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve"
-).split()
+).split())
 
 _W = r"[^\W\d_]"
 _CAP = rf"(?-i:[A-ZÀ-ÞĀ-Ž]){_W}+"
@@ -63,9 +63,11 @@ _ANYTOWN = rf"{_W}+(?:[-' ]{_W}+){{0,3}}?"
 _PLACE = rf"(?:,? {_ANYTOWN},? \d{{4,5}}(?!\d)|,? \d{{4,5}} (?:{_TOWN}|{_W}+(?:[-' ]{_W}+){{0,3}}?(?=[,.;!?\n]|$)))"
 _UNIT_EN = r"(?:,? (?:apt|apartment|flat|unit|suite|ste|no)\.? ?#?\d+ ?[a-z]?(?!\w)|,? #\d+[a-z]?)"
 
+_AT = "at|arroba"
+_DOT = "dot|punkt|point|punto"
 EMAIL = re.compile(
-    r"(?<![\w.+@-])(?:[\w+-]+(?:\.[\w+-]+)*)(?: ?@ ?|\s*[\[({]\s*(?:@|at|arroba)\s*[\])}]\s*)[\w-]+(?:(?:\.|\s*[\[({]\s*(?:\.|dot|punkt|point|punto)\s*[\])}]\s*)[\w-]+)+"
-    r"|(?<![\w.+@-])(?:[\w+-]+(?:(?:\.| dot )[\w+-]+)*) (?:at|arroba) [\w-]+(?: (?:dot|punkt|point|punto) [\w-]+)+",
+    r"(?<![\w.+@-])(?:[\w+-]+(?:\.[\w+-]+)*)(?: ?@ ?|\s*[\[({]\s*(?:@|" + _AT + r")\s*[\])}]\s*)[\w-]+(?:(?:\.|\s*[\[({]\s*(?:\.|" + _DOT + r")\s*[\])}]\s*)[\w-]+)+"
+    r"|(?<![\w.+@-])(?:[\w+-]+(?:(?:\.| dot )[\w+-]+)*) (?:" + _AT + r") [\w-]+(?: (?:" + _DOT + r") [\w-]+)+",
     re.I,
 )
 PHONE = re.compile(
@@ -78,7 +80,7 @@ PHONE = re.compile(
     r")(?:,? ?(?:ext|x|extension|durchwahl|dw|poste|int|anexo)\.? ?\d{1,6})?(?![\w@]|[-/.,:]\d)",
     re.I,
 )
-SPOKEN = re.compile(rf"\b(?:(?:{'|'.join(NUMBER_WORDS)})[ -]){{6,}}(?:{'|'.join(NUMBER_WORDS)})\b(?:,? ?(?:ext|extension)\.? ?\d{{1,6}})?", re.I)
+SPOKEN = re.compile(rf"\b(?:(?:{'|'.join(sorted(NUMBER_WORDS))})[ -]){{6,}}(?:{'|'.join(sorted(NUMBER_WORDS))})\b(?:,? ?(?:ext|extension)\.? ?\d{{1,6}})?", re.I)
 ID = re.compile(
     r"(?<![\w.+@/-])(?:"
     r"[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-z]"
@@ -95,15 +97,36 @@ ID = re.compile(
     re.I,
 )
 _TYPES_EN = r"street|st|lane|ln|row|road|rd|court|ct|avenue|ave|drive|way|close|place|pl|terrace|boulevard|blvd|square|sq|crescent|gardens|mews|hill|walk|green|park"
+_ENDINGS_DE = "straße|strasse|str|weg|gasse|platz|allee|ring|damm|ufer|hain"
+_STARTS_DE = "am|an der|im|zum|zur|alte|neue|große|kleine|lange|hohe"
+_TYPES_FR = r"rue|avenue|av\.|bd|boulevard|impasse|place|allée|chemin|quai|route|cours|square"
+_TYPES_ES = r"calle|c/|avda\.?|avenida|av\.|paseo|plaza|pza\.?|camino|ronda|travesía"
+_BOXES = r"p\.? ?o\.? ?box|postfach|apartado(?: de correos)?|bp|boîte postale|casilla"
 ADDRESS = re.compile(
     r"(?<![\w.:/-])(?:"
     rf"(?:(?:flat|apt|unit|apartment|suite)\.? \d+ ?[a-z]?, )?\d{{1,5}} ?[a-z]?,? (?:{_W}[\w'’-]* ){{1,4}}?(?:{_TYPES_EN})\b\.?(?:{_UNIT_EN})?(?:{_PLACE})?(?:{_UNIT_EN})?"
-    rf"|(?:{_W}+(?:stra(?:ß|ss)e|str\.?|weg|gasse|platz|allee|ring|damm|ufer|hain)|(?:am|an der|im|zum|zur|alte|neue|große|kleine|lange|hohe) (?-i:[A-ZÄÖÜ]|(?<= )[a-zäöü]){_W}+) \d{{1,4}} ?[a-z]?(?!\w)(?:, (?:\d+\. ?(?:og|stock|etage|ug)|eg|whg\.? ?\d+)\.?)?(?:{_PLACE})?(?:, \d+\. ?(?:og|stock|etage))?"
-    rf"|\d{{1,4}}(?:,? ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|bd|boulevard|impasse|place|allée|chemin|quai|route|cours|square)\.? (?:(?:de la|des|du|de|la|le|les) |d['’]|de l['’]|l['’])*{_W}[\w'’-]*(?: (?-i:[A-ZÀ-Þ])[\w'’-]+)*(?:,? (?:appt|apt|bât|étage|esc)\.? ?\w+)?(?:{_PLACE})?"
-    rf"|(?:calle|c/|avda\.?|avenida|av\.|paseo|plaza|pza\.?|camino|ronda|travesía) ?(?:de la |de los |de las |del |de )?{_W}[\w'’-]*(?: {_W}[\w'’-]*)?,? (?:n[º°o]\.? ?)?\d{{1,4}}(?!\d)(?:, (?:\d{{1,2}}[º°ª]\.? ?[a-z]?\b|piso \d+(?: ?[a-z]\b)?|bajo|ático))?(?:{_PLACE})?"
-    rf"|(?:p\.? ?o\.? ?box|postfach|apartado(?: de correos)?|bp|boîte postale|casilla) \d+(?:{_PLACE}|, {_TOWN})?"
+    rf"|(?:{_W}+(?:{_ENDINGS_DE})(?:(?<=str)\.)?|(?:{_STARTS_DE}) (?-i:[A-ZÄÖÜ]|(?<= )[a-zäöü]){_W}+) \d{{1,4}} ?[a-z]?(?!\w)(?:, (?:\d+\. ?(?:og|stock|etage|ug)|eg|whg\.? ?\d+)\.?)?(?:{_PLACE})?(?:, \d+\. ?(?:og|stock|etage))?"
+    rf"|\d{{1,4}}(?:,? ?(?:bis|ter|quater))?,? (?:{_TYPES_FR})\.? (?:(?:de la|des|du|de|la|le|les) |d['’]|de l['’]|l['’])*{_W}[\w'’-]*(?: (?-i:[A-ZÀ-Þ])[\w'’-]+)*(?:,? (?:appt|apt|bât|étage|esc)\.? ?\w+)?(?:{_PLACE})?"
+    rf"|(?:{_TYPES_ES}) ?(?:de la |de los |de las |del |de )?{_W}[\w'’-]*(?: {_W}[\w'’-]*)?,? (?:n[º°o]\.? ?)?\d{{1,4}}(?!\d)(?:, (?:\d{{1,2}}[º°ª]\.? ?[a-z]?\b|piso \d+(?: ?[a-z]\b)?|bajo|ático))?(?:{_PLACE})?"
+    rf"|(?:{_BOXES}) \d+(?:{_PLACE}|, {_TOWN})?"
     r")",
     re.I,
 )
-STREET_WORDS = frozenset(f"{_TYPES_EN}|rue|bd|boulevard|impasse|chemin|allée|quai|box|calle|avda|avenida|paseo|plaza|camino|ronda|postfach|apartado|bp|am|im|zum|zur|alte|neue|große|kleine|lange|hohe".split("|"))
-STREET_ENDINGS = ("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer", "hain")
+
+
+def _literals(alternatives: str) -> tuple[str, ...]:
+    """What a text must contain, in lower case, for one of the alternatives to match: the longest literal part of each."""
+    found = []
+    for alternative in re.split(r"\|(?![^()]*\))", alternatives):
+        parts = re.split(r"\(\?:.*?\)\??|.\?|\\.\??", alternative.replace("\\.?", "\0").replace("\\.", "."))
+        found.append(max((p for part in parts for p in part.split("\0")), key=len).lower())
+    return tuple(sorted(set(found)))
+
+
+# What the checks before the patterns look for, taken from the patterns' own alternatives. WORDS are whole words there, PARTS may run into others.
+INTRO_PARTS = _literals(NAME_INTRO)
+TITLE_WORDS = frozenset(TITLES.split("|"))
+AT_WORDS, DOT_WORDS = frozenset(_AT.split("|")), frozenset(_DOT.split("|"))
+STREET_WORDS = frozenset(w.rstrip(".") for w in _literals(f"{_TYPES_EN}|{_STARTS_DE}|{_TYPES_FR}") if " " not in w)
+STREET_PARTS = (*_literals(f"{_TYPES_ES}|{_BOXES}"), *(w for w in _STARTS_DE.split("|") if " " in w))
+STREET_ENDINGS = tuple(_ENDINGS_DE.split("|"))

@@ -220,6 +220,39 @@ def test_family_names_from_all_texts(spark, monkeypatch):
     assert {tuple(r) for r in redact(df, names).collect()} == red
 
 
+def test_checks_are_no_narrower_than_patterns(monkeypatch):
+    import itertools
+    import re
+
+    import mnemosa.llm.privacy as P
+
+    R = P.R
+    intro = {p: p.replace("\\", "") for p in re.split(r"\|(?![^()]*\))", R.NAME_INTRO)}
+    intro |= {"name": "my name's", "name is": "NAME IS", "contact": "contact person:"}
+    names = [re.sub(r"\(\?:.*", "", x) + " " + t + n for x in intro.values() for t in ("", "M. ", "Don ") for n in ("Briero", "Wenna Korovar", "C. Osterovar")]
+    names += [x + "Briero" for x in ("my name's", "name is ", "contact is ", "contact person: ", "Je m'appelle ", "best,")] + [f"saw {t}{d} Briero" for t in R.TITLES.split("|") for d in ("", ".")]
+    streets = [f"{n} Alder {t}{e}" for n in ("12", "5b") for t in R._TYPES_EN.split("|") for e in ("", "'s", "-side")]
+    streets += [f"Linden{t}{d} 4" for t in R._ENDINGS_DE.split("|") for d in ("", ".")] + [f"{t} Hof 3" for t in R._STARTS_DE.split("|")] + ["Martin-Luther-Straße 7", "LINDENSTRASSE 5"]
+    streets += [f"7{b} {t.replace(chr(92), '')} de la Tour" for b in (",", " bis") for t in R._TYPES_FR.split("|")] + [f"{t.replace(chr(92), '').replace('?', '')}{b}Mayor 5" for t in R._TYPES_ES.split("|") for b in ("", " ")]
+    streets += ["pobox 12", "P.O.Box 12", "p. o. box 12", "Postfach 3", "apartado 4", "Apartado de correos 4", "BP 9", "boîte postale 9", "casilla 8"]
+    mails = [f"korven{a}tessarin{d}test" for a, d in itertools.product(("@", " @ ", "(at)", " [ at ] ", " {arroba} ", " at ", " arroba "), (".", " dot ", "(dot)", " [punkt] ", " point ", " punto "))]
+    numbers = ["AB123456C", "AB 12 34 56 C", "AB 1234 56 C", "C01X00T47", "L01X0Z2T4", "X-1234567-L", "12.345.678-Z", "1 84 12 76 451 089 46", "954-96-6824", "21 0000 1111", "12 345 678 901", "12 345678 A 123", "123456789", "+49 (0) (30) 123 4567", "0171/123 45 67 89", "(020) 7946 0000"]
+    spoken = ["five five five five five five five", "one-two-three-four-five-six-seven", "FIVE FIVE FIVE FIVE FIVE FIVE FIVE ext 2", "doſe ſeven seven seven six six six six six"]
+    texts = [x for t in names + streets + mails + numbers + spoken for x in (f"Hm, {t} today.", f"my passport, {t}", t.upper(), t.replace("i", "ı"))] + ["Is Briero the one still living there"]
+    scanner = Scanner(GIVEN)
+    checked = [scanner.scan(t) for t in texts]
+    seen = {s[0] for found in checked for s in found}
+    assert seen == set(P.KINDS)
+    monkeypatch.setattr(P, "hints", lambda text: dict.fromkeys(("EMAIL", "ADDRESS", "PHONE", "ID", "SPOKEN", "INTRO", "STILL"), True))
+    assert [(t, x) for t, x in zip(texts, checked) if x != scanner.scan(t)] == []
+    found = lambda t: {(k, t[a:b]) for k, a, b, _ in scanner.scan(t)}
+    monkeypatch.undo()
+    assert ("NAME", "Briero") in found("Je m'appelle Briero.") and ("NAME", "Briero") in found("My name's Briero.") and ("NAME", "Briero") in found("I saw M. Briero today")
+    assert found("If I move to Velden m See, what then?") == set()
+    assert ("ID", "AB123456C") in found("my id AB123456C") and ("EMAIL", "korven (arroba) tessarin.test") in found("mail korven (arroba) tessarin.test")
+    assert ("PHONE", "five five five five five five five") in found("call five five five five five five five")
+
+
 # 8 -----------------------------------------------------------------------------------------
 
 
