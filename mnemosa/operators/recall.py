@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from mnemosa.operators.rank import CANDIDATE, RankOptions, rank
 from mnemosa.operators.scans import first_in_group, list_facts, summaries
 
 DAY_US = 86_400_000_000
+#: Facts of an entity in a block of best_match_within, on average at most.
+BLOCK = 2_048
 
 
 def _candidates(df: DataFrame, **columns: Column) -> DataFrame:
@@ -86,3 +90,44 @@ def best_match(new: DataFrame, existing: DataFrame, least: float) -> DataFrame:
     close = pairs.withColumn("cos", F.round(cosine("_a", "_b"), 6)).filter(F.col("cos") >= least)
     window = Window.partitionBy("entity_id", "new_id").orderBy(F.desc("cos"), F.desc("created_at"), F.asc("old_id"))
     return close.withColumn("_n", F.row_number().over(window)).filter("_n = 1").select("entity_id", "new_id", "old_id", "cos")
+
+
+def best_match_within(facts: DataFrame, least: float) -> DataFrame:
+    """As best_match with every vector (entity_id, uuid, vec, created_at) as new one against all others of its entity; exact, `least` above 0.
+
+    An entity's vectors of one length are dealt into blocks, and each pair of blocks is one
+    task's matrix product, so memory is bounded and a hot entity spans many tasks. The work
+    grows with the square of an entity's facts, the shuffle with that square by the block's size.
+    """
+    rows = facts.filter(F.size("vec") > 0).select("entity_id", "uuid", "created_at", "vec", F.size("vec").alias("_dim"))
+    sizes = rows.groupBy("entity_id", "_dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_blocks"))
+    dealt = rows.join(sizes, ["entity_id", "_dim"]).withColumn("_mine", F.pmod(F.xxhash64("uuid"), F.col("_blocks")).cast("int"))
+    paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    paired = paired.withColumn("_low", F.least("_mine", "_other")).withColumn("_high", F.greatest("_mine", "_other")).drop("_other", "_blocks")
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        # In the order of preference among equals, so that the first maximum of a row is its match.
+        rows = rows.sort_values(["created_at", "uuid"], ascending=[False, True], na_position="last", ignore_index=True)
+        with np.errstate(all="ignore"):
+            vecs = np.stack(rows["vec"]).astype(np.float64)
+            vecs = np.nan_to_num(vecs / np.sqrt((vecs * vecs).sum(1, keepdims=True)), nan=0.0, posinf=0.0, neginf=0.0)
+        low = rows["_mine"].to_numpy() == rows["_low"].to_numpy()
+        sides = [(np.flatnonzero(low), np.flatnonzero(~low)), (np.flatnonzero(~low), np.flatnonzero(low))] if not low.all() else [(np.arange(len(rows)),) * 2]
+        found = [pd.DataFrame({"entity_id": [], "new_id": [], "old_id": [], "cos": [], "created_at": rows["created_at"].iloc[:0]})]
+        for new, old in sides:
+            if not len(new) or not len(old):
+                continue
+            cos = np.round(vecs[new] @ vecs[old].T, 6)
+            cos[new[:, None] == old[None, :]] = -1.0
+            best = cos.argmax(1)
+            top = cos[np.arange(len(new)), best]
+            kept = top >= least
+            match = rows.iloc[old[best[kept]]]
+            found.append(pd.DataFrame({"entity_id": rows["entity_id"].iloc[0], "new_id": rows["uuid"].to_numpy()[new[kept]], "old_id": match["uuid"].to_numpy(), "cos": top[kept], "created_at": match["created_at"].to_numpy()}))
+        return pd.concat(found[1:] or found).astype({c: object for c in ("entity_id", "new_id", "old_id")})
+
+    types = dict(facts.dtypes)
+    schema = f"entity_id string, new_id string, old_id string, cos double, created_at {types['created_at']}"
+    close = paired.groupBy("entity_id", "_dim", "_low", "_high").applyInPandas(match, schema)
+    window = Window.partitionBy("entity_id", "new_id").orderBy(F.desc("cos"), F.desc("created_at"), F.asc("old_id"))
+    return close.withColumn("_n", F.row_number().over(window)).filter("_n = 1").select("entity_id", "new_id", "old_id", "cos")

@@ -306,6 +306,13 @@ def semantic_dedup(spark, sf):
     return Q.best_match(new, facts.select("entity_id", F.col("uuid").alias("old_id"), F.col("embedding").alias("vec"), "created_at"), 0.4)
 
 
+@query
+def semantic_duplicates(spark, sf):
+    """Every fact's closest other fact of its entity, where they are as good as one."""
+    facts = facts_of(spark, sf).filter("embedding IS NOT NULL AND embedding_model <> ''")
+    return Q.best_match_within(facts.select("entity_id", "uuid", F.col("embedding").alias("vec"), "created_at"), L.SEMANTIC)
+
+
 @query
 def consolidation_groups(spark, sf):
     groups = L.consolidation_groups(facts_of(spark, sf), as_of(), min_group=2, max_significance=10)

@@ -19,6 +19,7 @@ from mnemosa.operators import lifecycle as L
 from mnemosa.operators import models as M
 from mnemosa.operators import rank as R
 from mnemosa.operators import sessions as T
+from mnemosa.operators import recall as Q
 from mnemosa.operators.recall import recall_artifacts
 from mnemosa.schema import TABLES, empty
 
@@ -264,3 +265,23 @@ def test_qa_dataset(spark, tmp_path):
     got = [(r.session_no, str(r.session_date), r.turn_no, r.role, r.text) for r in turns.orderBy("session_no", "turn_no").collect()]
     assert got == [(2, "2023-01-20", 1, "user", "hi"), (2, "2023-01-20", 2, "assistant", "yo"), (10, "None", 1, "assistant", "late")]
     assert questions.first().ground_truth == "Ann"
+
+
+@pytest.mark.parametrize("block", [3, 2_048])
+def test_best_match_of_every_fact_equals_brute_force(spark, monkeypatch, block):
+    from mnemosa.plans.memory_queries import QUERIES
+
+    assert "semantic_duplicates" in QUERIES
+    monkeypatch.setattr(Q, "BLOCK", block)
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        base = rows[r.randrange(len(rows))][2] if rows and r.random() < 0.6 else [r.gauss(0, 1) for _ in range(r.choice((4, 4, 6)))]
+        vec = [x + r.gauss(0, 0.05) for x in base] if base and r.random() < 0.6 else list(base or [0.0] * 4)
+        rows.append((r.choice(("hot", "hot", "cold")), f"u{i:02}", vec, T0 + dt.timedelta(days=r.randrange(5)) if r.random() < 0.9 else None))
+    rows += [("hot", "z0", [0.0] * 4, T0), ("hot", "z1", [], T0), ("hot", "z2", None, T0), ("lone", "z3", [1.0] * 4, T0)]
+    facts = spark.createDataFrame(rows, "entity_id string, uuid string, vec array<float>, created_at timestamp_ntz")
+    want = Q.best_match(facts.withColumnRenamed("uuid", "new_id").drop("created_at"), facts.withColumnRenamed("uuid", "old_id"), 0.92).collect()
+    got = Q.best_match_within(facts, 0.92).collect()
+    assert len(want) > 20 and {(x.entity_id, x.new_id, x.old_id, x.cos) for x in got} == {(x.entity_id, x.new_id, x.old_id, x.cos) for x in want}
+    assert Q.best_match_within(facts.limit(0), 0.92).count() == 0
