@@ -22,22 +22,31 @@ def norm_key(col: Column | str) -> Column:
     return F.when(key != "", key)
 
 
+def row_hash(df: DataFrame, without: Sequence[str] = ()) -> Column:
+    """One number made of a row's columns; maps, which have no order, don't count."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if c not in without and "map<" not in t and "variant" not in t])
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of every key by `order`, ties broken by all other orderable columns.
+    """The first row of every key by `order`; equals are settled by a hash of the row's other columns.
 
     A ranked window, so the group limit also runs before the shuffle and a hot key sends
-    one row per map task.
+    one row per map task. The hash is made at the scan of the columns at hand, so select what
+    is needed first: what `df` doesn't carry isn't read, and equal hashes mean equal results.
     """
-    rest = [F.col(c).asc_nulls_last() for c, t in df.dtypes if c not in keys and not t.startswith("map")]
-    window = Window.partitionBy(*keys).orderBy(*order, *rest)
-    return df.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
+    window = Window.partitionBy(*keys).orderBy(*order, "_tie")
+    ranked = df.withColumn("_tie", row_hash(df, keys)).withColumn("_rn", F.row_number().over(window))
+    return ranked.filter("_rn = 1").drop("_rn", "_tie")
 
 
 def latest_state(facts: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The state of every fact: of the rows of one uuid the one with the latest updated_at.
 
-    uuid comes out as compared; rows without uuid are no records. Only `columns` are carried.
-    Rows equal in uuid and updated_at are settled by the carried columns in order.
+    uuid comes out as compared; rows without uuid are no records. Only `columns` are read and
+    carried; rows equal in uuid and updated_at are settled by them, or by the change they
+    were written with where the table has change numbers.
     """
-    slim = facts.select(norm_key("uuid").alias("uuid"), F.col("updated_at").alias("_at"), *[F.col(c) for c in columns if c != "uuid"])
-    return first_per_key(slim.filter("uuid IS NOT NULL"), ["uuid"], [F.col("_at").desc_nulls_last()]).drop("_at")
+    change = [F.col("change_no").alias("_change")] if "change_no" in facts.columns else []
+    slim = facts.filter("uuid IS NOT NULL").select(norm_key("uuid").alias("uuid"), F.col("updated_at").alias("_at"), *change, *[F.col(c) for c in columns if c != "uuid"])
+    order = [F.col("_at").desc_nulls_last(), *[F.col("_change").desc_nulls_last() for _ in change]]
+    return first_per_key(slim.filter("uuid IS NOT NULL"), ["uuid"], order).drop("_at", "_change")

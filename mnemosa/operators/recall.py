@@ -17,7 +17,7 @@ BLOCK = 2_048
 
 
 def _candidates(df: DataFrame, **columns: Column) -> DataFrame:
-    given = {c: F.lit(None) for c in CANDIDATE} | {
+    given = {c: F.lit(None) for c in [*CANDIDATE, "vec", "model"]} | {
         "significance": F.lit(0), "confidence": F.lit(1.0), "emotional_weight": F.lit(0.0), "pinned": F.lit(False), "engagement_score": F.lit(0.0), "temporal_status": F.lit("current"),
         "reference_time": F.lit(""), "thread_status": F.lit(None).cast("string"), "tag": F.lit(""),
     }
@@ -31,8 +31,8 @@ def fact_candidates(facts: DataFrame, as_of: Column, where: FactFilter = FactFil
     rows = facts.filter(alive)
     if max_candidates > 0:
         rows = list_facts(rows, max_candidates)
-    same = {c: F.col(c) for c in CANDIDATE if c != "id"}
-    return _candidates(rows, id=F.col("uuid"), vec=F.col("embedding"), model=F.col("embedding_model"), **same)
+    same = {c: F.col(n) for c, n in {**{c: c for c in CANDIDATE if c != "id"}, "vec": "embedding", "model": "embedding_model"}.items() if n in rows.columns}
+    return _candidates(rows, id=F.col("uuid"), **same)
 
 
 def recall_facts(facts: DataFrame, queries: DataFrame, as_of: Column, options: RankOptions = RankOptions(), where: FactFilter = FactFilter(), max_candidates: int = 0) -> DataFrame:

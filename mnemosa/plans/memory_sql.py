@@ -111,7 +111,7 @@ def _predictions(name: str) -> str:
 
 _TRIGGER = "entity_id, kind, content, uuid, priority, days_since"
 _ENTITIES = f"list_filter(list_transform(regexp_extract_all(query, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b', 0), lambda e: lower(e)), lambda e: NOT list_contains({words(X.QUESTION_WORDS)}, e))"
-_INTENT = " OR ".join(f"regexp_matches(query, '(?i){p.replace('A', chr(92) + 'b', 1).removesuffix('Z') + (chr(92) + 'b' if p.endswith('Z') else '')}')" for p in X.TEMPORAL_INTENT)
+_INTENT = " OR ".join(f"regexp_matches(query, '(?i){p}')" for p in X.TEMPORAL_INTENT)
 
 _SCORES = f"""qq AS (SELECT *, {tokens("query")} AS terms FROM q),
 n AS (SELECT q.query_id, q.terms, f.entity_id, f.uuid AS id, f.content, f.created_at, f.embedding AS vec, f.embedding_model AS model, q.query_vec, q.query_model, {tokens("f.content")} AS ws

@@ -58,7 +58,7 @@ def with_defaults(facts: DataFrame) -> DataFrame:
         col = F.col(name)
         if name == "temporal_status":
             col = norm_key(name)
-        if name == "embedding":
+        if name == "embedding" and dict(facts.dtypes)[name].startswith("array"):
             col = F.when(F.size(name) > 0, col)
         if name in FACT_DEFAULTS:
             col = F.coalesce(col, F.lit(FACT_DEFAULTS[name]))
@@ -67,9 +67,14 @@ def with_defaults(facts: DataFrame) -> DataFrame:
 
 
 def current_facts(facts: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per fact, by state and with defaults, of facts that belong to an entity."""
-    columns = columns or [c for c in facts.columns if c not in ("uuid", "updated_at")]
+    """One row per fact, by state and with defaults, of facts that belong to an entity. Only `columns` are read, by default all."""
+    columns = list(columns) if columns is not None else [c for c in facts.columns if c not in ("uuid", "updated_at")]
     if "entity_id" not in columns:
         columns = ["entity_id", *columns]
     state = latest_state(facts, columns).withColumn("entity_id", norm_key("entity_id")).filter("entity_id IS NOT NULL")
     return with_defaults(state)
+
+
+def vector_presence(facts: DataFrame) -> DataFrame:
+    """`facts` with 1 in place of each vector, so that asking which facts have none carries no vectors."""
+    return facts.withColumn("embedding", F.when(F.size("embedding") > 0, F.lit(1)))
