@@ -10,42 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemosa.llm import boosting
-from mnemosa.llm.quality_holdout import HOLDOUT, SEEDS
+from mnemosa.llm.profile import EXTRA, STATS, class_table, common_numbers, profile, profiler
+from mnemosa.llm.quality_holdout import HOLDOUT
 from mnemosa.session import materialize
 
 #: Documents the classifier is fitted on at most, before weak labels are given.
 SAMPLE = 8_000
-#: How often each text labelled by hand for learning counts.
-SEED_WEIGHT = 6
-#: Common words taken from the table at most; the table is fixed.
-COMMON_WORDS = 10_000
+#: Most common words; the table is fixed and small.
+COMMON_WORDS = 100_000
 
-# What words, lines and their kinds look like.
+# What words and lines look like.
 WORD = r"[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*"
 LINE = r"(?m)^.*\S.*$"
 PUNCT_LINE = r"(?m)^.*[.!?…。！？][\"»”’')\]]*[ \t]*$"
 SYMBOL = r"[^\p{L}\p{M}\p{N}\p{Z}\s\x{85}]"
-MARKED = r"(?m)^[ \t\x{a0}]*(?:> ?)*(?:[-*+•·–—▪◦‣○●∙]|\[[ xX✓]?\]|[☐☑✓✗]|\(?\d{1,3}[.)\]:]|#\d{1,3}|\d{1,3} [-–]|\([a-zA-Z]\)|[a-zA-Z][.)])[ \t]+\S.*$"
-CELLS = (
-    r"(?m)^(?:[^|\n]*+\|[^|\n]*+\|.*|[^\t\n]*+\t.*\S.*|(?:[^;\n]*+;(?! )){2,}.*|[^;\n]{0,40}+;(?! )[^; \n]++"
-    r"|(?:[^,\n]{0,40}+,(?! )){2,}+[^,\n]{0,40}(?<![.!?])(?<!\d{3} [\p{L} ]{0,39})"
-    r"|[ \t]*+\S++(?: \S++){0,4}+(?: {2,}+\S++(?: \S++){0,4}+){2,}+[ \t]*+|[ \t]*+\S++(?: \S++){0,4}+ {3,}+\S++(?: \S++){0,4}+[ \t]*+"
-    r"|[ \t]*+[+|][-=+|: ]{3,}+|[ \t]*+[-=]{3,}+(?:[ +|]++[-=]{3,}+)++[ \t]*+)$"
-)
-SHORT = r"(?m)^[ \t]*\S+(?: +\S+){0,5}[ \t]*(?<![.!?…,])$"
-SENTENCE_END = r"[\p{L}\p{N}\)\"»][.!?…。！？](?=[\s\"»”)]|$)"
-BROKEN = r"[ÃÂ][\x{80}-\x{bf}]|[\x{80}-\x{84}\x{86}-\x{9f}]|\x{fffd}|Ã|Â|â€"
-MIXED = r"[a-z][A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z]|[\p{L}][+/=%{}&_|][\p{L}\p{N}]"
-HEX = r"(?m)^[0-9a-fA-F]{4,16}:? +(?:[0-9a-fA-F]{2,4} ?){6,}|\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{8,}\b"
-NO_VOWEL = r"(?i)\b[bcdfghjklmnpqrstvwxz]{4,}\b"
-FOREIGN = r"[\p{L}&&[^\p{IsLatin}]]"
-
-STATS = ("word_count", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share")
-EXTRA = ("lines", "words_a_line", "marked", "cells", "short", "ends_a_word", "broken", "mixed", "long_token", "hex", "no_vowel", "foreign", "digits", "letters", "lower_start", "even", "readable")
 
 
 def common_words(table: DataFrame) -> list[str]:
-    return sorted({r.w for r in table.select(F.lower("word").alias("w")).filter("w IS NOT NULL").distinct().limit(COMMON_WORDS).collect()})
+    """The different common words. The list goes to every task, so one beyond COMMON_WORDS is refused, not cut."""
+    words = sorted(r.w for r in table.select(F.lower("word").alias("w")).filter("w IS NOT NULL").distinct().limit(COMMON_WORDS + 1).collect())
+    if len(words) > COMMON_WORDS:
+        raise ValueError(f"more than {COMMON_WORDS} common words")
+    return words
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -78,21 +64,10 @@ def _stats(text: str, words: str, common: list[str]) -> list[Column]:
 
 
 def features(documents: DataFrame, common: list[str]) -> DataFrame:
-    """doc_id, STATS and EXTRA of every document with a visible character."""
-    text = F.regexp_replace("text", r"\r\n?|[\x{2028}\x{2029}\x{85}]", "\n")
-    rows = documents.select("doc_id", text.alias("text")).filter(F.col("text").rlike(r"(?U)[^\s\p{Cf}]"))
-    rows = rows.withColumn("_words", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    count = lambda p: F.regexp_count("text", F.lit(p))
-    lines, n, chars = count(LINE), F.size("_words"), F.length("text")
-    stats = _stats("text", "_words", common)
-    extra = dict(
-        lines=lines.cast("double"), words_a_line=_share(n, lines), marked=_share(count(MARKED), lines), cells=_share(count(CELLS), lines), short=_share(count(SHORT), lines),
-        ends_a_word=_share(count(SENTENCE_END), n), broken=_share(count(BROKEN), chars), mixed=_share(count(MIXED), n), long_token=_share(chars - F.length(F.regexp_replace("text", r"[^\s-]{30,}", "")), chars),
-        hex=_share(count(HEX), lines), no_vowel=_share(count(NO_VOWEL), n), foreign=_share(count(FOREIGN), chars), digits=_share(count(r"\p{N}"), chars), letters=_share(count(r"\p{L}"), chars),
-        lower_start=_share(count(r"(?m)^[ \t]*\p{Ll}"), lines), even=_share(chars, lines * F.array_max(F.transform(F.split("text", "\n"), lambda x: F.length(x)))),
-        readable=F.greatest(stats[-1], _share(count(FOREIGN), chars)),
-    )
-    return rows.select("doc_id", *stats, *[extra[k].alias(k) for k in EXTRA])
+    """doc_id, STATS and EXTRA of every document with a visible character; STATS as `statistics` has them, with each end of line as one character."""
+    shared = documents.sparkSession.sparkContext.broadcast((class_table(), common_numbers(common)))
+    key = dict(documents.dtypes)["doc_id"]
+    return documents.filter("text IS NOT NULL").select("doc_id", "text").mapInArrow(profiler(shared), ", ".join([f"doc_id {key}", *(f"{c} double" for c in (*STATS, *EXTRA))]))
 
 
 #: What the trees see: a script without known common words is as readable as one with.
@@ -115,31 +90,27 @@ def weak_label(f: dict[str, float]) -> str | None:
         votes.add("prose")
     if f["foreign"] > 0.3 and f["symbol_ratio"] < 0.3 and not structured and f["broken"] == 0:
         votes.add("prose")
-    noise = f["symbol_ratio"] > 0.5 or f["long_token"] > 0.4 or f["mixed"] > 0.5 or f["broken"] > 0.03 or f["no_vowel"] > 0.3 or f["hex"] > 0.5
-    if f["marked"] < 0.6 and f["cells"] < 0.3 and f["foreign"] < 0.3 and f["common_word_share"] < 0.12 and noise:
+    noise = f["symbol_ratio"] > 0.5 or f["long_token"] > 0.4 or f["mixed"] > 0.5 or f["broken"] > 0.03 or f["no_vowel"] > 0.3 or f["hard"] > 0.3 or f["hex"] > 0.5
+    one = f["lines"] < 2  # a single line is no table
+    if f["marked"] < 0.6 and (f["cells"] < 0.3 or one) and f["foreign"] < 0.3 and f["common_word_share"] < 0.12 and noise:
         votes.add("junk")
     if f["broken"] > 0.04 or f["hex"] > 0.6 or f["letters"] + f["digits"] < (0.1 if f["cells"] < 0.6 else 0.02):
         votes = {"junk"}
     return votes.pop() if len(votes) == 1 else None
 
 
-def train(rows: DataFrame, by_hand: DataFrame) -> boosting.Boosted:
-    """Trees fitted on weakly labelled rows of a bounded sample and the seeds, calibrated on the hand-checked holdout.
-
-    by_hand: features of HOLDOUT and then SEEDS, numbered from 0 by doc_id.
-    """
+def train(rows: DataFrame, held: np.ndarray) -> boosting.Boosted:
+    """Trees fitted on weakly labelled rows of a bounded sample, calibrated on the features of HOLDOUT."""
     n = max(1, rows.count())
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, SAMPLE / n)).select("doc_id", *STATS, *EXTRA).toPandas().sort_values("doc_id")
     labels = [weak_label(r) for r in drawn[[*STATS, *EXTRA]].to_dict("records")]
     keep = [i for i, y in enumerate(labels) if y]
-    hand = by_hand.toPandas().sort_values("doc_id")
-    known = [k for k, _ in (*HOLDOUT, *SEEDS)]
-    hx, hy = hand[list(NAMES)].to_numpy(float), [known[int(i)] for i in hand["doc_id"]]
-    held = (hand["doc_id"] < len(HOLDOUT)).to_numpy()
-    sx, sy = hx[~held], [y for y, h in zip(hy, held) if not h]
-    x = np.concatenate([drawn[list(NAMES)].to_numpy(float)[keep], *[sx] * SEED_WEIGHT])
-    model = boosting.fit(x, [labels[i] for i in keep] + sy * SEED_WEIGHT)
-    model.calibrate(hx[held], [y for y, h in zip(hy, held) if h])
+    known = [k for k, _ in HOLDOUT]
+    if not keep:  # nothing that the rules can label: the texts checked by hand are all there is
+        return boosting.fit(held, known)
+    model = boosting.fit(drawn[list(NAMES)].to_numpy(float)[keep], [labels[i] for i in keep])
+    there = [i for i, y in enumerate(known) if y in model.classes]
+    model.calibrate(held[there], [known[i] for i in there])
     return model
 
 
@@ -150,10 +121,10 @@ def classify(documents: DataFrame, common_table: DataFrame, fitted_on: DataFrame
     """
     spark = documents.sparkSession
     common = common_words(common_table)
-    rows = materialize(features(documents.select("doc_id", "text"), common))
-    by_hand = features(spark.createDataFrame([(i, t) for i, (_, t) in enumerate((*HOLDOUT, *SEEDS))], "doc_id bigint, text string"), common)
-    basis = rows if fitted_on is None else materialize(features(fitted_on.select("doc_id", "text"), common))
-    model = spark.sparkContext.broadcast(train(basis, by_hand))
+    rows = materialize(features(documents, common))
+    basis = rows if fitted_on is None else materialize(features(fitted_on, common))
+    held, _ = profile([t for _, t in HOLDOUT], class_table(), common_numbers(common))
+    model = spark.sparkContext.broadcast(train(basis, held[:, [(*STATS, *EXTRA).index(c) for c in NAMES]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

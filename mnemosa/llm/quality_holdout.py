@@ -47,33 +47,3 @@ HOLDOUT: list[tuple[str, str]] = [
     ("junk", "8f14e45fceea167a5a36dedd4bea2543 c9f0f895fb98ab9159f51fd0297e236d 45c48cce2e2d7fbdea1afc51c7c6ad26"),
     ("junk", "$$$$ ---- //// \\\\\\\\ **** ^^^^ @@@@ ____ ||||"),
 ]
-
-# Learned from, for forms that a corpus may have few of; none is in HOLDOUT.
-SEEDS: list[tuple[str, str]] = [
-    ("prose", "Вчера мы были у бабушки. Она рассказала нам, как они жили в деревне и что пели по вечерам."),
-    ("prose", "私は昨日、友達と映画を見ました。とても面白かったので、もう一度見たいです。"),
-    ("prose", "Το πρωί πήγαμε στη θάλασσα και το βράδυ φάγαμε όλοι μαζί στην αυλή."),
-    ("prose", "yes of course, I will be there at six"),
-    ("prose", "thank you so much"),
-    ("prose", "She said that\nthe road was closed\nand they had to walk\nfor an hour before\nthe bus came. It was\nraining."),
-    ("prose", "no\nI don't think so\nbut you can ask him when he is back from work\nhe will know what to do"),
-    ("prose", "Human: where did I put it?\nAI: You said it was in the blue box.\nHuman: oh right"),
-    ("list", "8:30 school run\n9:15 call with the bank\n13:00 pick up parcel\n16:45 swimming"),
-    ("list", "apples\npears\nrice\nolive oil\nsoap"),
-    ("list", "Berlin\nParis\nMadrid\nRome\nVienna\nPrague"),
-    ("list", "2 x AA battery\n1 x torch\n10 m cable\n4 screws"),
-    ("list", "Packliste:\n- Zahnbürste\n- Socken\n- Buch"),
-    ("list", "I. intro\nII. method\nIII. results\nIV. end"),
-    ("table", "id\tname\tqty\n1\tbolt\t40\n2\tnut\t38\n3\twasher\t90"),
-    ("table", "city       pop\nLima       10\nQuito      2\nBogota     8"),
-    ("table", "k;v;w\n1;2;3\n4;5;6\n7;8;9"),
-    ("table", "+----+----+\n|x   |y   |\n+----+----+\n|4   |5   |\n|6   |7   |\n+----+----+"),
-    ("table", "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |"),
-    ("table", "time,temp,wind\n08:00,12,3\n09:00,13,4\n10:00,15,4"),
-    ("junk", "qz xv jj kkw pprt zzx bvn mwq"),
-    ("junk", "====\n----\n****\n////"),
-    ("junk", "U2FsdGVkX1+abcDEF0123456789ghijKLMNopqrSTUVwxyz==\nQmFzZTY0IGxpbmVzIG9mIG5vIG1lYW5pbmc="),
-    ("junk", "���� �� ÃÂ©Ã Â¨ ÃÂ¼ ����"),
-    ("junk", "❗❗❗ 👀👀 💯💯💯💯"),
-    ("junk", "{}{}[]<<>>;;;:::%%%&&&"),
-]

@@ -88,13 +88,19 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.filter("kind <> 'prose'").select("doc_id", "kind")
 
 
+def p10_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """The kind of every document that has visible text, with its calibrated probability."""
+    kinds = classify(read_table(spark, sf, "documents"), read_table(spark, sf, "common_word"))
+    return kinds.select("doc_id", "kind", F.round("probability", 4).alias("probability"))
+
+
 def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Word count, mean word length, symbol ratio, and shares of punctuated lines and common words of every document."""
     stats = statistics(read_table(spark, sf, "documents"), common_words(read_table(spark, sf, "common_word")))
     return stats.select("doc_id", "word_count", *[F.round(c, 6).alias(c) for c in stats.columns[2:]])
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p4_found, p4_clock_corrected, p5_found, p5_neighbours, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_stats)}
+QUERIES = {q.__name__: q for q in (p1_found, p4_found, p4_clock_corrected, p5_found, p5_neighbours, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_kinds, p10_stats)}
 
 _KEY = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 
