@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from mnemosa.llm import boosting
 from mnemosa.llm.profile import EXTRA, STATS, class_table, common_numbers, profile, profiler
-from mnemosa.llm.quality_holdout import HOLDOUT
+from mnemosa.llm.quality_holdout import HOLDOUT, SEEDS
 from mnemosa.session import materialize
 
 #: Documents the classifier is fitted on at most, before weak labels are given.
 SAMPLE = 8_000
+#: How often each text labelled by hand for learning counts.
+SEED_WEIGHT = 6
 #: Most common words; the table is fixed and small.
 COMMON_WORDS = 100_000
 
@@ -99,18 +101,18 @@ def weak_label(f: dict[str, float]) -> str | None:
     return votes.pop() if len(votes) == 1 else None
 
 
-def train(rows: DataFrame, held: np.ndarray) -> boosting.Boosted:
-    """Trees fitted on weakly labelled rows of a bounded sample, calibrated on the features of HOLDOUT."""
+def train(rows: DataFrame, held: np.ndarray, seeds: np.ndarray) -> boosting.Boosted:
+    """Trees fitted on weakly labelled rows of a bounded sample and SEEDS, calibrated on HOLDOUT (features as NAMES).
+
+    The seeds stand for forms that a corpus may have few of, such as other scripts.
+    """
     n = max(1, rows.count())
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, SAMPLE / n)).select("doc_id", *STATS, *EXTRA).toPandas().sort_values("doc_id")
     labels = [weak_label(r) for r in drawn[[*STATS, *EXTRA]].to_dict("records")]
     keep = [i for i, y in enumerate(labels) if y]
-    known = [k for k, _ in HOLDOUT]
-    if not keep:  # nothing that the rules can label: the texts checked by hand are all there is
-        return boosting.fit(held, known)
-    model = boosting.fit(drawn[list(NAMES)].to_numpy(float)[keep], [labels[i] for i in keep])
-    there = [i for i, y in enumerate(known) if y in model.classes]
-    model.calibrate(held[there], [known[i] for i in there])
+    x = np.concatenate([drawn[list(NAMES)].to_numpy(float)[keep], *[seeds] * SEED_WEIGHT])
+    model = boosting.fit(x, [labels[i] for i in keep] + [k for k, _ in SEEDS] * SEED_WEIGHT)
+    model.calibrate(held, [k for k, _ in HOLDOUT])
     return model
 
 
@@ -123,8 +125,9 @@ def classify(documents: DataFrame, common_table: DataFrame, fitted_on: DataFrame
     common = common_words(common_table)
     rows = materialize(features(documents, common))
     basis = rows if fitted_on is None else materialize(features(fitted_on, common))
-    held, _ = profile([t for _, t in HOLDOUT], class_table(), common_numbers(common))
-    model = spark.sparkContext.broadcast(train(basis, held[:, [(*STATS, *EXTRA).index(c) for c in NAMES]]))
+    by_hand, _ = profile([t for _, t in (*HOLDOUT, *SEEDS)], class_table(), common_numbers(common))
+    by_hand = by_hand[:, [(*STATS, *EXTRA).index(c) for c in NAMES]]
+    model = spark.sparkContext.broadcast(train(basis, by_hand[: len(HOLDOUT)], by_hand[len(HOLDOUT) :]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
