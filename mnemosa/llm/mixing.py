@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemosa.functions.keys import norm_key
 from mnemosa.llm.tokens import TOKENIZERS, with_token_count
 from mnemosa.operators.chunks import range_chunks, with_rank
-from mnemosa.session import broadcast_if_small
+from mnemosa.session import broadcast_if_small, materialize
 
 
 def source_key(col: Column | str) -> Column:
@@ -28,7 +28,7 @@ def sized(documents: DataFrame, mix: DataFrame, vocabulary: str = "byte_bpe_50k"
     """source, doc_id, n_tokens, _chunk of the documents of the named sources, in range chunks by size; written once."""
     named = broadcast_if_small(targets(mix).select("source"))
     rows = documents.select("doc_id", source_key("source").alias("source"), "text").join(named, "source", "left_semi")
-    counted = with_token_count(rows.filter("text <> ''"), "text", vocabulary, folder).filter("n_tokens > 0")
+    counted = materialize(with_token_count(rows.filter("text <> ''"), "text", vocabulary, folder).filter("n_tokens > 0"))  # once: range bounds read it too
     return range_chunks(counted, ["source"], ["n_tokens", "doc_id"])
 
 
@@ -40,7 +40,7 @@ def plan(docs: DataFrame, mix: DataFrame, total_tokens: int | None = None) -> Da
     bind and the reached shares tell. One row per source.
     """
     have = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    present = targets(mix).join(have, "source")
+    present = materialize(targets(mix).join(have, "source").coalesce(1))
     sums = present.agg(F.sum("weight").alias("w"), F.min(F.col("n_tokens") * F.col("max_repeats") / F.col("weight")).alias("most"))
     whole = sums.select("w").scalar()
     total = F.lit(float(total_tokens)) if total_tokens else sums.select("most").scalar() * whole
@@ -66,7 +66,7 @@ def mix_sources(docs: DataFrame, quotas: DataFrame, seed: int = 7) -> DataFrame:
 
 def reached_shares(mixed: DataFrame, mix: DataFrame) -> DataFrame:
     """source, target_share, reached_share, n_rows, n_tokens of every target, those without documents at 0."""
-    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_tokens").alias("n_tokens"))
+    got = materialize(mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_tokens").alias("n_tokens")))
     total = got.agg(F.sum("n_tokens").alias("n")).scalar()
     out = targets(mix).join(got, "source", "left")
     n = F.coalesce("n_tokens", F.lit(0))
