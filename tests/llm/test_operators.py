@@ -140,7 +140,7 @@ def test_similar_pairs_of_few_copies_and_none(spark):
 
 
 def test_nearest_recall(spark, monkeypatch):
-    monkeypatch.setattr(N, "CELL", 128)
+    monkeypatch.setattr(N, "SEARCH_CELL", 128)
     x = planted(2400, 32, 3)
     df = spark.createDataFrame([(f"u{i:05d}", v.tolist(), "m", T0, "", 1) for i, v in enumerate(x)], VECTOR)
     found = N.nearest([(N.usable_vectors(df, "f", "embedding", "model"), False)], F.substring("id", 2, 5).cast("int") % 50 == 0, 10, probes=16).collect()
