@@ -1,20 +1,25 @@
 """Context within a token budget.
 
-A section takes lines in order until one doesn't fit, so it is a prefix: a running total
-over the bounded list of lines each query brings. Sections follow each other, as each
-needs what the ones before have used.
+A section takes lines in order until one doesn't fit, and what fits hangs on the sections
+before it. The lines of a query are few (bounded by the limits of the scans and of recall),
+so they come together in one array per query and are folded in one pass over the queries,
+by Arrow batches; nothing is written in between.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemosa.functions import text as X
-from mnemosa.session import materialize
 
+# Headings of the flat context.
 HEADERS = {"profile": "User profile:", "session": "\nSession context:", "recalled": "\nRelevant context from memory:", "artifacts": "\nRelevant code/data:", "summaries": "\nRelevant past conversations:"}
 
 
@@ -24,45 +29,63 @@ class Budget:
     summaries: int = 1000
 
 
-def header_cost(section: str) -> int:
-    words = len(HEADERS[section].split())
-    return -(-13 * words // 10)
+def n_words(text: str) -> int:
+    return len([w for w in re.split("[\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+", text) if w])
 
 
-def unsaid(lines: DataFrame, query: str, seen: DataFrame | None) -> DataFrame:
-    """`lines` (query, position, content) with norm, without those that an earlier line or `seen` (query, norm) already said."""
-    by = Window.partitionBy(query, "norm").orderBy("position")
-    rows = lines.withColumn("norm", X.dedup_text("content")).withColumn("_nth", F.row_number().over(by)).filter("_nth = 1").drop("_nth")
-    return rows.join(seen, [query, "norm"], "left_anti") if seen is not None else rows
+def estimate(text: str) -> int:
+    """What X.estimate_tokens gives for one text."""
+    n = n_words(text)
+    return math.ceil(n * 1.3) if n else math.ceil(len(text) * 2 / 3)
 
 
-def take_within(lines: DataFrame, query: str, room: Column, always: int = 0) -> DataFrame:
-    """`lines` (query, position, line) with tokens and _stopped: 0 before the first line that exceeds `room`, 1 at it, more after.
+def _fold(lines: DataFrame, query: str, item: str, fold: Callable[[list[dict]], list[tuple]], out: str) -> DataFrame:
+    """`fold` over each query's lines (`section`, `position`, and what `item` names besides), in order; `out` is the schema of what it gives."""
+    fields = ["section_no", "position", *item.split(", ")]
+    lists = lines.groupBy(query).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_items"))
+    names = [c.split(" ")[0] for c in out.split(", ")]
 
-    The first `always` lines come in whatever they cost.
-    """
-    by = Window.partitionBy(query).orderBy("position")
-    rows = lines.withColumn("tokens", X.estimate_tokens(F.concat("line", F.lit("\n"))))
-    rows = rows.withColumns({"used": F.sum("tokens").over(by), "_no": F.row_number().over(by)})
-    late = rows.withColumn("_over", ((F.col("used") > room) & (F.col("_no") > always)).cast("int"))
-    stopped = late.withColumn("_hit", F.sum("_over").over(by))
-    return stopped.withColumn("_stopped", F.when(F.col("_hit") > 0, F.sum((F.col("_hit") > 0).cast("int")).over(by)).otherwise(0)).drop("_no", "_over", "_hit", "used")
-
-
-def _section(lines: DataFrame, query: str, used: DataFrame, section: str, total: int, always: int = 0, charge_header: bool = True, cap: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The section's lines; what is used after it; the lines it reached, with the first that didn't fit."""
-    cost = header_cost(section) if charge_header else 0
-    rows = lines.join(used, query, "left").withColumn("_used", F.coalesce("_used", F.lit(0)))
-    left = F.lit(total) - F.col("_used")
-    room = (F.least(left, F.lit(cap)) if cap is not None else left) - cost
-    if cap is not None:
-        rows = rows.filter(F.least(left, F.lit(cap)) > 0)
-    marked = materialize(take_within(rows, query, room, always).drop("_used"))
-    taken = marked.filter("_stopped = 0")
-    spent = taken.groupBy(query).agg((F.sum("tokens") + cost).alias("_spent"))
-    now = used.join(spent, query, "left").select(query, (F.col("_used") + F.coalesce("_spent", F.lit(0))).alias("_used"))
-    reached = marked.filter("_stopped <= 1")
-    return taken.select(query, F.lit(section).alias("section"), "position", "line", "tokens"), now, reached
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [(q, *row) for q, items in zip(pdf[query], pdf["_items"]) for row in fold([dict(zip(fields, x.values())) if isinstance(x, dict) else x.asDict() for x in items])]
+            yield pd.DataFrame(found, columns=[query, *names], dtype=object)
+
+    return lists.mapInPandas(run, f"`{query}` {dict(lines.dtypes)[query]}, {out}")
+
+
+_SECTIONS = tuple(HEADERS)
+
+
+def _flat(budget: Budget):
+    def fold(items: list[dict]) -> list[tuple]:
+        used, seen, out = 0, set(), []
+        for no, section in enumerate(_SECTIONS):
+            mine = [x for x in items if x["section_no"] == no]
+            if not mine:
+                continue
+            spent = 0 if section == "profile" else estimate(HEADERS[section] + "\n")
+            room = budget.total - used
+            if section == "summaries":
+                room = min(budget.summaries, room)
+                if room <= 0:
+                    continue
+            taken = []
+            for x in mine:
+                if x["norm"] is not None:
+                    if x["norm"] in seen:
+                        continue
+                    seen.add(x["norm"])
+                cost = estimate(x["line"] + "\n")
+                if spent + cost > room and not (section == "recalled" and len(taken) < 5):
+                    break
+                taken.append((section, x["position"], x["line"], cost))
+                spent += cost
+            if taken:
+                out += taken
+                used += spent
+        return out
+
+    return fold
 
 
 def flat_context(query: str, profile: DataFrame, recalled: DataFrame, summaries: DataFrame, session: DataFrame | None = None, artifacts: DataFrame | None = None, budget: Budget = Budget()) -> DataFrame:
@@ -71,31 +94,36 @@ def flat_context(query: str, profile: DataFrame, recalled: DataFrame, summaries:
     profile, recalled: query, position, content (recalled also temporal_status and
     reference_time); session: query, position, line; artifacts: query, position, line;
     summaries: query, position, content, created_at. Memories that an earlier line already
-    said are left out; the first five recalled ones may exceed the budget.
+    said are left out, also if that was the first that didn't fit its section; the first
+    five recalled ones may exceed the budget. Null contents say nothing and are left out.
     """
     bullet = lambda c: F.concat(F.lit("- "), c)
-    used = profile.select(query).union(recalled.select(query)).union(summaries.select(query)).distinct().withColumn("_used", F.lit(0).cast("bigint"))
-    out = []
-    rows, used, reached = _section(unsaid(profile, query, None).withColumn("line", bullet("content")), query, used, "profile", budget.total, charge_header=False)
-    seen = reached.select(query, "norm")
-    out.append(rows)
-    if session is not None:
-        rows, used, _ = _section(session, query, used, "session", budget.total)
-        out.append(rows)
     mark = F.concat(F.when(F.col("temporal_status") == "historical", "[historical] ").otherwise(""), F.when(F.coalesce("reference_time", F.lit("")) != "", F.concat(F.lit("["), "reference_time", F.lit("] "))).otherwise(""))
-    rows, used, reached = _section(unsaid(recalled, query, seen).withColumn("line", bullet(F.concat(mark, "content"))), query, used, "recalled", budget.total, always=5)
-    seen = seen.unionByName(reached.select(query, "norm"))
-    out.append(rows)
-    if artifacts is not None:
-        rows, used, _ = _section(artifacts, query, used, "artifacts", budget.total)
-        out.append(rows)
     dated = F.concat(F.lit("- ["), F.date_format("created_at", "MMM d, yyyy"), F.lit("] "), F.col("content"))
-    rows, used, _ = _section(unsaid(summaries, query, seen).withColumn("line", dated), query, used, "summaries", budget.total, cap=budget.summaries)
-    out.append(rows)
-    lines = out[0]
-    for r in out[1:]:
-        lines = lines.unionByName(r)
-    return lines
+    given = {"profile": (profile, bullet(F.col("content")), True), "session": (session, F.col("line"), False), "recalled": (recalled, bullet(F.concat(mark, "content")), True), "artifacts": (artifacts, F.col("line"), False), "summaries": (summaries, dated, True)}
+    lines = None
+    for no, section in enumerate(_SECTIONS):
+        df, line, said = given[section]
+        if df is None:
+            continue
+        norm = X.dedup_text("content") if said else F.lit(None).cast("string")
+        part = df.select(query, F.lit(no).alias("section_no"), F.col("position").cast("int").alias("position"), line.alias("line"), norm.alias("norm")).filter("line IS NOT NULL")
+        lines = part if lines is None else lines.unionByName(part)
+    return _fold(lines, query, "line, norm", _flat(budget), "section string, position int, line string, tokens bigint")
+
+
+def session_lines(turns: DataFrame, query: str) -> DataFrame:
+    """query, position, line of turn summaries (query, position, start_turn, end_turn, is_overview, summary)."""
+    span = F.concat(F.lit("- [Turns "), F.col("start_turn").cast("string"), F.lit("-"), F.col("end_turn").cast("string"), F.lit("] "))
+    return turns.select(query, "position", F.concat(F.when(F.coalesce("is_overview", F.lit(False)), "- [Overview] ").otherwise(span), F.coalesce("summary", F.lit(""))).alias("line"))
+
+
+def artifact_lines(artifacts: DataFrame, query: str) -> DataFrame:
+    """query, position, line of artifacts (query, position, artifact_type, language, description, content); code of a known language in a fence."""
+    language = F.coalesce("language", F.lit(""))
+    head = F.concat(F.lit("- ["), "artifact_type", F.when(language != "", F.concat(F.lit(":"), language)).otherwise(""), F.lit("] "), F.coalesce("description", F.lit("")), F.lit("\n"))
+    fenced = F.concat(F.lit("  ```"), language, F.lit("\n  "), "content", F.lit("\n  ```"))
+    return artifacts.select(query, "position", F.concat(head, F.when((F.col("artifact_type") == "code") & (language != ""), fenced).otherwise(F.concat(F.lit("  "), "content"))).alias("line"))
 
 
 def render(lines: DataFrame, query: str) -> DataFrame:
@@ -113,6 +141,15 @@ def confidence_label(c: Column | str) -> Column:
     return F.when(c >= 0.8, "verified").when(c >= 0.5, "likely").otherwise("inferred")
 
 
+def identity_lines(profile: DataFrame, query: str, floor: float = 0.3) -> DataFrame:
+    """query, position, tag, line of facts kept in mind (query, position, content, tag, confidence, verbatim), by tag in the order tags first appear."""
+    said = F.when(F.coalesce("verbatim", F.lit("")) != "", F.concat(F.lit(' | User said: "'), F.replace("verbatim", F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise("")
+    rows = profile.filter(F.coalesce("confidence", F.lit(1.0)) >= floor).withColumn("tag", F.when(F.coalesce("tag", F.lit("")) == "", "general").otherwise(F.col("tag")))
+    rows = rows.withColumn("_first", F.min("position").over(Window.partitionBy(query, "tag")))
+    at = F.row_number().over(Window.partitionBy(query).orderBy("_first", "position"))
+    return rows.select(query, at.alias("position"), "tag", F.concat(F.lit("- "), "content", F.lit(" ("), confidence_label(F.coalesce("confidence", F.lit(1.0))), F.lit(")"), said).alias("line"))
+
+
 def identity_section(profile: DataFrame, query: str, total: int = 4000, floor: float = 0.3, most: int | None = None) -> DataFrame:
     """query, tag, position, line of the identity tier: facts by tag in the order tags first appear; a tag ends at the first line that doesn't fit, later tags may still fit.
 
@@ -150,18 +187,6 @@ def window_turns(total: Column, used: Column, default: int) -> Column:
     return F.greatest(F.lit(4), F.least(F.lit(default), F.floor(F.greatest(total - used, F.lit(800)) / 200))).cast("int")
 
 
-@dataclass(frozen=True)
-class Tier:
-    """A section of the tiered context: its lines (query, position, line), and how it counts."""
-
-    name: str
-    tier: str
-    header: str
-    lines: DataFrame
-    personal: bool = False  # counts against the limit of personal facts
-    cap: int | None = None  # own limit of tokens
-
-
 # Headings of the tiered context.
 TIER_HEADERS = {
     "identity": "[IDENTITY] Who this user is:", "emotional": "[EMOTIONAL STATE] Recent emotional context:", "threads": "[OPEN THREADS] Unresolved topics to follow up on:",
@@ -170,6 +195,10 @@ TIER_HEADERS = {
 }
 
 
+# Feelings that a tiered context tells of.
+FELT = ("grief", "joy", "anxiety", "hope", "love", "anger", "fear", "pride")
+
+
 def _quoted(verbatim: str, lead: str) -> Column:
     """What the user said, in quotes, where there is a verbatim."""
     escaped = F.replace(verbatim, F.lit('"'), F.lit('\\"'))
@@ -193,6 +222,11 @@ def thread_lines(facts: DataFrame, query: str, now: Column, floor: float = 0.3)
     return facts.filter(F.coalesce("confidence", F.lit(0.5)) >= floor).select(query, "position", line.alias("line"))
 
 
+def past_lines(summaries: DataFrame, query: str, now: Column) -> DataFrame:
+    """query, position, line of past conversations (query, position, content, created_at)."""
+    return summaries.select(query, "position", F.concat(F.lit("- ["), X.relative_date(F.col("created_at").cast("timestamp"), now), F.lit("] "), "content").alias("line"))
+
+
 def recalled_lines(facts: DataFrame, query: str, verified: bool, floor: float = 0.3) -> DataFrame:
     """facts (query, position, content, confidence, verbatim): those said outright, or those only likely, hedged."""
     c = F.coalesce("confidence", F.lit(0.5))
@@ -203,39 +237,79 @@ def recalled_lines(facts: DataFrame, query: str, verified: bool, floor: float =
     return rows.select(query, "position", line.alias("line"))
 
 
-def _cost(words: Column) -> Column:
-    return F.ceil(words * F.lit(1.3))
-
-
-def tiered_context(queries: DataFrame, query: str, sections: list[Tier], total: int = 4000, most_personal: int | None = None) -> DataFrame:
-    """query, tier, section, position, line: sections one after the other under one budget.
-
-    A section takes lines until one doesn't fit; what it used is estimated on its whole text.
-    Sections of one tier that follow each other count as one text.
+#: The sections of the tiered context: name, tier, and whether its lines count as personal facts.
+TIERS = (
+    ("identity", "semantic", True), ("emotional", "emotional", True), ("threads", "proactive", True), ("verified", "episodic", False), ("inferred", "episodic", False), ("proactive", "proactive", False),
+    ("session", "working", False), ("past", "past", False),
+)
+_TIER_TEXTS = ("semantic", "emotional", "episodic", "proactive", "working", "past")
+
+
+def _tiered(budget: Budget, most_personal: int | None):
+    """One query's lines to its texts by tier, their tokens, and the whole."""
+
+    def fold(items: list[dict]) -> list[tuple]:
+        texts: dict[str, str] = {}
+        used, personal = 0, 0
+        room = lambda spent, cost, cap: spent + cost <= (budget.total - used if cap is None else cap)
+        done = 0
+        while done < len(TIERS):
+            name, tier, counts = TIERS[done]
+            group = [done, done + 1] if name == "verified" else [done]  # both parts of what is recalled are one text
+            done += len(group)
+            cap = min(budget.summaries, budget.total - used) if name == "past" else None
+            if cap is not None and cap <= 0:
+                continue
+            lines, taken, spent = [], 0, 0
+            for no in group:
+                mine = [x for x in items if x["section_no"] == no]
+                if not mine:
+                    continue
+                if lines:
+                    lines.append("")
+                lines.append(TIER_HEADERS[TIERS[no][0]])
+                spent += estimate(lines[-1] + "\n")
+                closed = None
+                for x in mine:
+                    if closed is not None and (closed == x["tag"] or name != "identity"):
+                        continue
+                    cost = estimate(x["line"] + "\n")
+                    if counts and most_personal is not None and personal >= most_personal or not room(spent, cost, cap):
+                        closed = x["tag"]
+                        if name != "identity":
+                            break
+                        continue
+                    lines.append(x["line"])
+                    spent, taken, personal = spent + cost, taken + 1, personal + counts
+            if not lines or not taken and name != "verified":
+                continue
+            text = "\n".join(lines)
+            old = texts.get(tier)
+            texts[tier] = text if old is None else f"{old}\n\n{text}"
+            used += estimate(texts[tier]) - (estimate(old) if old is not None else 0)
+        whole = "\n\n".join(texts.values()).rstrip("\n")
+        return [(*[texts.get(t, "") for t in _TIER_TEXTS], used, whole)]
+
+    return fold
+
+
+def tiered_context(sections: dict[str, DataFrame], query: str, budget: Budget = Budget(), most_personal: int | None = None) -> DataFrame:
+    """query, the text of each tier (semantic, emotional, episodic, proactive, working, past), total_tokens and formatted, the whole.
+
+    sections: for names of TIERS their lines (query, position, line, and for identity tag),
+    as from identity_lines, emotional_lines, thread_lines, recalled_lines, session_lines. A
+    section takes lines until one doesn't fit; in identity only the line's tag ends there.
+    `most_personal` bounds the lines of the first three together. Things to bring up join the
+    text of the open threads. A tier's tokens are estimated on its whole text. Queries without
+    a line have no row.
     """
-    used = queries.select(query).distinct().withColumns({"_done": F.lit(0).cast("bigint"), "_words": F.lit(0), "_personal": F.lit(0)})
-    tier, out = None, []
-    for s in sections:
-        if s.tier != tier:  # the text so far is closed
-            used = used.withColumns({"_done": F.col("_done") + _cost(F.col("_words")), "_words": F.lit(0)})
-            tier = s.tier
-        head = len(s.header.split())
-        rows = s.lines.join(used, query)
-        left = F.lit(total) - F.col("_done") - _cost(F.col("_words"))
-        room = (F.least(left, F.lit(s.cap)) if s.cap is not None else left) - -(-13 * head // 10)
-        if s.personal and most_personal is not None:
-            nth = F.row_number().over(Window.partitionBy(query).orderBy("position"))
-            rows = rows.withColumn("_nth", nth + F.col("_personal")).filter(F.col("_nth") <= most_personal).drop("_nth")
-        marked = take_within(rows.select(query, "position", "line", room.alias("_room")), query, F.col("_room"))
-        taken = materialize(marked.filter("_stopped = 0").select(query, F.lit(s.tier).alias("tier"), F.lit(s.name).alias("section"), "position", "line"))
-        out.append(taken)
-        words = F.size(F.filter(F.split("line", r"\s+"), lambda w: w != ""))
-        spent = taken.groupBy(query).agg((F.sum(words) + head).cast("int").alias("_w"), F.count(F.lit(1)).cast("int").alias("_n"))
-        used = used.join(spent, query, "left")
-        used = used.select(
-            query, "_done", (F.col("_words") + F.coalesce("_w", F.lit(0))).alias("_words"), (F.col("_personal") + (F.coalesce("_n", F.lit(0)) if s.personal else F.lit(0))).alias("_personal")
-        )
-    lines = out[0]
-    for r in out[1:]:
-        lines = lines.unionByName(r)
-    return lines
+    lines = None
+    for no, (name, _, _) in enumerate(TIERS):
+        if name not in sections:
+            continue
+        df = sections[name]
+        tag = F.col("tag") if "tag" in df.columns else F.lit("")
+        part = df.select(query, F.lit(no).alias("section_no"), F.col("position").cast("int").alias("position"), F.col("line"), tag.alias("tag")).filter("line IS NOT NULL")
+        lines = part if lines is None else lines.unionByName(part)
+    texts = ", ".join(f"{t} string" for t in _TIER_TEXTS)
+    return _fold(lines, query, "line, tag", _tiered(budget, most_personal), f"{texts}, total_tokens bigint, formatted string")

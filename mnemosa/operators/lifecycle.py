@@ -97,9 +97,9 @@ def ingest(facts: DataFrame, extracted: DataFrame, as_of: Column, strict: bool =
     """entity_id, seq, uuid, action, target: what each extracted fact does, against the facts before the batch.
 
     extracted: entity_id, seq, content, fact_type, significance, slot, vec. In order: a fact
-    with the same key is reinforced (also one of the batch); a new identity fact makes those
-    of its slot historical; one whose vector is close to a fact's reinforces that; the rest
-    is inserted. With `strict`, facts just made historical can still be reinforced, so their
+    with the same key, of whatever status, is reinforced (also one of the batch); a new
+    identity fact makes the current ones of its slot historical; one whose vector is close to
+    that of a current, unexpired fact reinforces that; the rest is inserted. With `strict`, facts just made historical can still be reinforced, so their
     superseder may never come to be; without it they can't.
     """
     from mnemosa.operators.recall import best_match
@@ -111,8 +111,9 @@ def ingest(facts: DataFrame, extracted: DataFrame, as_of: Column, strict: bool =
     nth = F.row_number().over(Window.partitionBy("entity_id", "content_key").orderBy("seq"))
     rows = rows.withColumn("_nth", nth)
     fresh = rows.filter("_old IS NULL AND _nth = 1")
-    conflicts = slot_conflicts(facts, fresh.filter("fact_type = 'identity'").select("entity_id", "slot", "uuid", "seq"))
-    pool = facts if strict else facts.join(conflicts.select("uuid"), "uuid", "left_anti")
+    conflicts = slot_conflicts(facts.filter(F.col("expires_at").isNull() | (F.col("expires_at") > as_of)), fresh.filter("fact_type = 'identity'").select("entity_id", "slot", "uuid", "seq"))
+    alive = facts.filter((F.col("temporal_status") == "current") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)))
+    pool = alive if strict else alive.join(conflicts.select("uuid"), "uuid", "left_anti")
     close = best_match(fresh.select("entity_id", F.col("uuid").alias("new_id"), "vec"), pool.select("entity_id", F.col("uuid").alias("old_id"), F.col("embedding").alias("vec"), "created_at"), SEMANTIC)
     out = rows.join(close.select(F.col("new_id").alias("uuid"), F.col("old_id").alias("_near")), "uuid", "left")
     action = F.when(F.col("_old").isNotNull() | (F.col("_nth") > 1) | F.col("_near").isNotNull(), "reinforce").otherwise("insert")
@@ -190,17 +191,18 @@ def delete_facts(facts: DataFrame, gone: DataFrame) -> DataFrame:
     return facts.join(gone.select("entity_id", "uuid"), ["entity_id", "uuid"], "left_anti")
 
 
-def consolidation_groups(facts: DataFrame, as_of: Column, min_group: int = 3, newest: int = 500, days: int = 30, max_significance: int = 5) -> DataFrame:
-    """entity_id, tag, n_facts, lines: old minor events by tag that may become a pattern.
-
-    Of the newest `newest` events of an entity with a reference date `days` ago or earlier;
-    an entity needs `min_group` of them, and so does a tag. Contents are in binary order.
-    """
+def old_events(facts: DataFrame, as_of: Column, newest: int = 500, days: int = 30, max_significance: int = 5) -> DataFrame:
+    """The newest `newest` current minor events of each entity with a reference date `days` ago or earlier; tag `_untagged` where there is none."""
     day = F.date_format(as_of - F.expr(f"INTERVAL {days} DAY"), "yyyy-MM-dd")
     old = facts.filter((F.col("fact_type") == "event") & (F.col("temporal_status") == "current") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)))
     old = old.filter((F.col("reference_time") <= day) & (F.col("significance") <= max_significance))
     pool = first_in_group(old, "entity_id", [F.desc("created_at"), F.asc("uuid")], newest)
-    tags = pool.groupBy("entity_id", F.when(F.col("tag") == "", "_untagged").otherwise(F.col("tag")).alias("tag")).agg(
+    return pool.withColumn("tag", F.when(F.col("tag") == "", "_untagged").otherwise(F.col("tag")))
+
+
+def consolidation_groups(facts: DataFrame, as_of: Column, min_group: int = 3, newest: int = 500, days: int = 30, max_significance: int = 5) -> DataFrame:
+    """entity_id, tag, n_facts, lines: old_events by tag that may become a pattern, of at least `min_group`; contents in binary order."""
+    tags = old_events(facts, as_of, newest, days, max_significance).groupBy("entity_id", "tag").agg(
         F.count(F.lit(1)).alias("n_facts"), F.concat(F.lit("- "), F.array_join(F.array_sort(F.collect_list("content")), "\n- ")).alias("lines")
     )
     return tags.filter(F.col("n_facts") >= min_group)

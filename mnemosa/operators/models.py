@@ -11,10 +11,22 @@ from pyspark.sql import functions as F
 
 from mnemosa.functions import text as X
 from mnemosa.operators.lifecycle import expiry
-from mnemosa.operators.sessions import transcripts
+from mnemosa.operators.sessions import PIECE, transcripts
 
 Model = Callable[[Sequence[str]], Sequence[str]]
 
+# What goes around memories that are put before a request.
+BLOCK = ("[Memory Context]\nThe following are relevant memories about this user:\n", "\n[End Memory Context]")
+#: The questions put to a model.
+SUMMARY_PROMPT = (
+    "Sum up this conversation in two to five sentences: its subjects, what was decided, what is left open, and what it tells about the user. "
+    "Leave out what nobody would want to remember. If nothing is left, answer NONE and nothing else."
+)
+TURNS_PROMPT = "Sum up these turns of a conversation in at most 200 tokens: decisions, questions, code, data, open points.\n\n"
+OVERVIEW_PROMPT = "Make one overview of these summaries, in at most 300 tokens.\n\n"
+PATTERN_PROMPT = "These {} events have a subject in common. State in one sentence the habit or tendency they show, or answer NONE if they show none.\n\n"
+ARTIFACT_PROMPT = "Say in one sentence what this code or data is: "
+
 EXTRACTED = (
     "content string, type string, significance int, tag string, slot string, confidence double, reference_time string, emotional_weight double, emotional_valence string, "
     "verbatim string, started_at string, thread_status string"
@@ -52,13 +64,40 @@ def call_model(rows: DataFrame, prompt: str, model: Model, out: str = "answer",
     return rows.mapInPandas(run, schema)
 
 
-def extraction_prompts(messages: DataFrame, instructions: str) -> DataFrame:
-    """conversation_id, prompt of conversations that say something."""
+def segment_prefix(messages: DataFrame) -> DataFrame:
+    """`messages` (position, content, topic, classification) with lines for topic and classification before the content of position 1."""
+    line = lambda c, name: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), F.col(c), F.lit("\n"))).otherwise("")
+    head = F.concat(line("topic", "Topic"), line("classification", "Classification"))
+    return messages.withColumn("content", F.when(F.col("position") == 1, F.concat(head, "content")).otherwise(F.col("content")))
+
+
+def extraction_prompts(messages: DataFrame, instructions: str, size: int = PIECE) -> DataFrame:
+    """conversation_id, piece_no, prompt of conversations that say something, by pieces of `size` messages."""
     from mnemosa.operators.sessions import trivial_conversations
 
     worth = trivial_conversations(messages).filter("NOT is_trivial").select("conversation_id")
-    lines = transcripts(messages.join(worth, "conversation_id", "left_semi"))
-    return lines.select("conversation_id", F.concat(F.lit(instructions + "\n\n"), "transcript").alias("prompt"))
+    lines = transcripts(messages.join(worth, "conversation_id", "left_semi"), size)
+    return lines.select("conversation_id", "piece_no", F.concat(F.lit(instructions + "\n\n"), "transcript").alias("prompt"))
+
+
+def last_user_message(messages: DataFrame, group: str = "conversation_id") -> DataFrame:
+    """`group`, content of the last message of a user with text, by position."""
+    said = messages.filter((F.col("role") == "user") & (F.coalesce("content", F.lit("")) != ""))
+    return said.groupBy(group).agg(F.max_by("content", "position").alias("content"))
+
+
+def exchange(messages: DataFrame, answers: DataFrame, group: str = "conversation_id") -> DataFrame:
+    """`group`, position, role, content: the messages of users and assistants with text, and the answer (group, content) after them."""
+    said = messages.filter(F.col("role").isin("user", "assistant") & (F.coalesce("content", F.lit("")) != "")).select(group, F.col("position").cast("bigint").alias("position"), "role", "content")
+    end = messages.groupBy(group).agg(F.max("position").alias("_last"))
+    added = answers.filter(F.coalesce("content", F.lit("")) != "").join(end, group, "left")
+    return said.unionByName(added.select(group, (F.coalesce("_last", F.lit(0)) + 1).cast("bigint").alias("position"), F.lit("assistant").alias("role"), "content"))
+
+
+def memory_block(memories: DataFrame, group: str) -> DataFrame:
+    """`group`, block: memories (group, position, content) as the text that goes before a request."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "content"))), lambda m: F.concat(F.lit("- "), m["content"])), "\n")
+    return memories.filter("content IS NOT NULL").groupBy(group).agg(F.concat(F.lit(BLOCK[0]), lines, F.lit(BLOCK[1])).alias("block"))
 
 
 def parse_list(answer: Column | str) -> Column:
@@ -98,7 +137,7 @@ def validated(extracted: DataFrame, today: Column) -> DataFrame:
             "verbatim": F.when(verbatim != "", F.substring(verbatim, 1, 300)),
             "started_at": F.when((started >= "1900-01-01") & (started <= F.date_format(today, "yyyy-MM-dd")), started),
             "thread_status": F.when(low("thread_status") == "open", "open"),
-            "slot": F.coalesce("slot", F.lit("")),
+            "slot": F.coalesce(low("slot"), F.lit("")),
         }
     )
     return rows.withColumns({"content_key": X.content_key("content"), "expires_at": expiry("significance", today)}).drop("type")

@@ -63,7 +63,6 @@ def bm25(candidates: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     raw = F.aggregate(F.transform("_tf", part), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
     rows = rows.withColumn("_raw", raw).drop("_tf", "_len", "_n", "_avg", "_dfs")
-    rows = materialize(rows)
     best = rows.groupBy("query_id").agg(F.max("_raw").alias("_best"))
     return rows.join(best, "query_id").withColumn("lexical", F.round(F.when(F.col("_best") > 0, F.col("_raw") / F.col("_best")).otherwise(0.0), DIGITS)).drop("_raw", "_best")
 
@@ -127,14 +126,14 @@ def rank(candidates: DataFrame, queries: DataFrame, options: RankOptions = RankO
     scored = score(candidates, queries)
     fused = fuse(scored, options.window)
     rows = fused.join(scored, ["query_id", "id"])
-    whole = Window.partitionBy("query_id")
+    whole, best = Window.partitionBy("query_id"), [F.desc("score"), F.desc("fused"), F.asc("tie")]  # equal scores keep the fused order
     rows = rows.withColumn("_share", F.try_divide(F.col("fused"), F.max("fused").over(whole)))
     rows = rows.withColumn("score", _rounded(adjusted(options))).filter(F.col("score") >= options.threshold)
-    rows = rows.withColumn("_no", F.row_number().over(whole.orderBy(F.desc("score"), F.asc("tie")))).filter(F.col("_no") <= options.limit)
+    rows = rows.withColumn("_no", F.row_number().over(whole.orderBy(*best))).filter(F.col("_no") <= options.limit)
     rows = rows.withColumn("score", _rounded(F.col("score") + 0.001 * F.col("significance")))
     if options.diversify:
         rows = diversify(rows)
-    final = whole.orderBy(F.desc("score"), F.asc("tie"))
+    final = whole.orderBy(*best)
     keep = ["query_id", "entity_id", "id", "score", "rank_no", "dense", "lexical", "matches", "entity_score", "temporal_score", "tag"]
     return rows.withColumn("rank_no", F.row_number().over(final)).select(*keep)
 
@@ -143,7 +142,7 @@ def diversify(rows: DataFrame) -> DataFrame:
     """Scores of results beyond a tag's share of 60 % lowered by 15 %; lists of up to two stay."""
     whole, tags = Window.partitionBy("query_id"), Window.partitionBy("query_id", "tag")
     n = F.count(F.lit(1)).over(whole)
-    nth = F.row_number().over(tags.orderBy(F.desc("score"), F.asc("tie")))
+    nth = F.row_number().over(tags.orderBy(F.desc("score"), F.desc("fused"), F.asc("tie")))
     most = F.greatest(F.lit(1), F.floor(n * 0.6))
     return rows.withColumn("score", F.when((n > 2) & (nth > most), _rounded(F.col("score") * 0.85)).otherwise(F.col("score")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemosa.functions import text as X
+from mnemosa.functions.keys import first_per_key
 from mnemosa.operators.chunks import CHUNK, range_chunks, with_rank
 from mnemosa.operators.recall import micros
 
@@ -33,9 +34,10 @@ def sessionize(touches: DataFrame, user: str, time: str, timeout_minutes: int =
 
 
 def normalize_messages(messages: DataFrame) -> DataFrame:
-    """Messages of users and assistants with content, both trimmed; repeated rows of a message once."""
+    """Messages of users and assistants with content, both trimmed; of repeated rows of a message the earliest."""
     role, content = X.jstrip("role"), X.jstrip("content")
-    return messages.withColumns({"role": role, "content": content}).filter("role IN ('user', 'assistant') AND content <> ''").dropDuplicates(["uuid"])
+    rows = messages.withColumns({"role": role, "content": content}).filter("role IN ('user', 'assistant') AND content <> ''")
+    return first_per_key(rows, ["uuid"], [F.asc("created_at")])
 
 
 def overlap(existing: Column, incoming: Column) -> Column:
@@ -56,10 +58,17 @@ def merge_history(existing: Column, incoming: Column) -> Column:
     return F.concat(existing, new_messages(existing, incoming))
 
 
-def transcripts(messages: DataFrame) -> DataFrame:
-    """conversation_id, n_messages, transcript: `role: content` lines in order. One row per conversation, as long as its text."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("created_at", "uuid", "role", "content"))), lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
-    return messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_messages"), F.array_join(lines, "\n").alias("transcript"))
+#: Messages in a piece of a transcript.
+PIECE = 64
+
+
+def transcripts(messages: DataFrame, size: int = PIECE) -> DataFrame:
+    """conversation_id, piece_no (from 0), n_messages, transcript: `role: content` lines in order, `size` messages a piece, so that no row or task holds a long conversation whole."""
+    order = ["created_at", "uuid"]
+    ranked = with_rank(range_chunks(messages.select("conversation_id", *order, "role", "content"), ["conversation_id"], order), ["conversation_id"], order)
+    pieces = ranked.withColumn("piece_no", F.floor((F.col("rank") - 1) / size).cast("bigint"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "role", "content"))), lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return pieces.groupBy("conversation_id", "piece_no").agg(F.count(F.lit(1)).alias("n_messages"), F.array_join(lines, "\n").alias("transcript"))
 
 
 def trivial_conversations(messages: DataFrame) -> DataFrame:
@@ -80,7 +89,7 @@ def turn_ranges(messages: DataFrame, turns: DataFrame, working: int = 10) -> Dat
 
 
 def overview_merges(turns: DataFrame, most: int = 3, oldest: int = 2) -> DataFrame:
-    """conversation_id, end_turn, n_inputs, text: the next overview of conversations with more than `most` ranges, of the old overview and the oldest ranges."""
+    """conversation_id, end_turn, n_inputs, text, inputs (uuids): the next overview of conversations with more than `most` ranges, of the old overview and the oldest ranges."""
     ranges = turns.filter("NOT coalesce(is_overview, false)")
     by = Window.partitionBy("conversation_id").orderBy("start_turn", "created_at", "uuid")
     many = ranges.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("conversation_id")
@@ -89,7 +98,7 @@ def overview_merges(turns: DataFrame, most: int = 3, oldest: int = 2) -> DataFra
     over = turns.filter("is_overview").withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").withColumn("_nth", F.lit(0)).join(many, "conversation_id")
     parts = first.unionByName(over)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "summary"))), lambda x: F.coalesce(x["summary"], F.lit(""))), "\n")
-    return parts.groupBy("conversation_id").agg(F.max("end_turn").alias("end_turn"), F.count(F.lit(1)).alias("n_inputs"), text.alias("text"))
+    return parts.groupBy("conversation_id").agg(F.max("end_turn").alias("end_turn"), F.count(F.lit(1)).alias("n_inputs"), text.alias("text"), F.collect_list("uuid").alias("inputs"))
 
 
 def chunks_of_turns(messages: DataFrame, size: int = 8) -> DataFrame:

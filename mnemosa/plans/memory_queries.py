@@ -175,9 +175,9 @@ def trivial_conversations(spark, sf):
 
 @query
 def transcripts(spark, sf):
-    """Every conversation's transcript, as a hash with its length."""
+    """Every conversation's transcript by pieces of 64 messages, as hashes with their lengths."""
     t = T.transcripts(T.normalize_messages(messages_of(spark, sf, "role", "content")))
-    return t.select("conversation_id", "n_messages", F.length("transcript").cast("bigint").alias("n_chars"), F.md5("transcript").alias("digest"))
+    return t.select("conversation_id", "piece_no", "n_messages", F.length("transcript").cast("bigint").alias("n_chars"), F.md5("transcript").alias("digest"))
 
 
 @query
@@ -368,47 +368,51 @@ SAID = tuple(dict.fromkeys((*CONSCIOUS, *TRIGGERS, *RANKED, "verbatim", "started
 
 
 def _context_inputs(spark, sf):
+    """Every entity's facts kept in mind, and what its newest question recalls of facts and of past conversations."""
     facts, talks = facts_of(spark, sf, *SAID), conversations_of(spark, sf)
     text = facts.select("uuid", "content", "temporal_status", "reference_time", "tag", "confidence", "verbatim")
     profile = Q.conscious(facts, as_of()).join(text, "uuid").withColumnRenamed("rank_no", "position")
-    recalled = S.list_facts(facts, 30).select("entity_id", F.col("rank_no").alias("position"), "content", "temporal_status", "reference_time")
-    past = S.summaries(talks, 10).select("entity_id", F.col("rank_no").alias("position"), F.col("summary").alias("content"), "created_at")
-    return profile, recalled, past
+    questions = Q.newest_questions(talks)
+    found = Q.recall_facts(facts, questions, as_of(), R.RankOptions(limit=30)).select("entity_id", F.col("id").alias("uuid"), F.col("rank_no").alias("position"))
+    recalled = found.join(text, "uuid")
+    said = Q.recall_summaries(talks, questions, R.RankOptions(limit=10)).select("entity_id", F.col("id").alias("uuid"), F.col("rank_no").alias("position"))
+    past = said.join(talks.select("uuid", F.col("summary").alias("content"), "created_at"), "uuid")
+    return facts, profile, recalled, past
 
 
 @query
 def context_flat(spark, sf):
-    """Every entity's context lines within 400 tokens, 150 of them for summaries."""
-    profile, recalled, past = _context_inputs(spark, sf)
+    """Every entity's context lines for its newest question within 400 tokens, 150 of them for summaries."""
+    _, profile, recalled, past = _context_inputs(spark, sf)
     return C.flat_context("entity_id", profile.select("entity_id", "position", "content"), recalled, past, budget=C.Budget(400, 150))
 
 
 @query
 def context_identity(spark, sf):
     """Every entity's identity lines within 120 tokens."""
-    profile, _, _ = _context_inputs(spark, sf)
+    facts = facts_of(spark, sf, *CONSCIOUS, "content", "tag", "confidence", "verbatim")
+    profile = Q.conscious(facts, as_of()).join(facts.select("uuid", "content", "tag", "confidence", "verbatim"), "uuid").withColumnRenamed("rank_no", "position")
     return C.identity_section(profile, "entity_id", 120).select("entity_id", "line_no", "tag", F.md5("line").alias("digest"))
 
 
 @query
 def context_tiers(spark, sf):
-    """Every entity's tiered context within 300 tokens: feelings, threads, recalled facts, triggers, past conversations."""
-    facts, talks = facts_of(spark, sf, *SAID), conversations_of(spark, sf)
+    """Every entity's tiered context for its newest question within 300 tokens, 60 of them for past conversations."""
+    facts, profile, recalled, past = _context_inputs(spark, sf)
     now = as_of().cast("timestamp")
     pick = lambda df: df.select("entity_id", F.col("rank_no").alias("position"), "content", "confidence", "verbatim", "tag", "started_at", "created_at")
-    recalled = pick(S.list_facts(facts, 20))
-    past = S.summaries(talks, 10).select("entity_id", F.col("rank_no").alias("position"), F.concat(F.lit("- ["), X.relative_date(F.col("created_at").cast("timestamp"), now), F.lit("] "), "summary").alias("line"))
     raised = P.proactive(facts, as_of(), gated=False).select("entity_id", F.col("rank_no").alias("position"), F.concat(F.lit("- ["), "kind", F.lit("] "), "content").alias("line"))
-    h = C.TIER_HEADERS
-    sections = [
-        C.Tier("emotional", "emotional", h["emotional"], C.emotional_lines(pick(S.list_facts(facts, 5, FactFilter(valences=P.HARD))), "entity_id", now), True),
-        C.Tier("threads", "proactive", h["threads"], C.thread_lines(pick(S.open_threads(facts, 5)), "entity_id", now), True),
-        C.Tier("verified", "episodic", h["verified"], C.recalled_lines(recalled, "entity_id", True)),
-        C.Tier("inferred", "episodic", h["inferred"], C.recalled_lines(recalled, "entity_id", False)),
-        C.Tier("proactive", "raised", h["proactive"], raised),
-        C.Tier("past", "past", h["past"], past, cap=60),
-    ]
-    return C.tiered_context(facts, "entity_id", sections, 300, 8)
+    sections = {
+        "identity": C.identity_lines(profile, "entity_id"),
+        "emotional": C.emotional_lines(pick(S.list_facts(facts, 10, FactFilter(valences=C.FELT, exclude_expired=True), as_of())), "entity_id", now),
+        "threads": C.thread_lines(pick(S.open_threads(facts, 10)), "entity_id", now),
+        "verified": C.recalled_lines(recalled, "entity_id", True),
+        "inferred": C.recalled_lines(recalled, "entity_id", False),
+        "proactive": raised,
+        "past": C.past_lines(past, "entity_id", now),
+    }
+    made = C.tiered_context(sections, "entity_id", C.Budget(300, 60), 8)
+    return made.select("entity_id", "total_tokens", *[F.length(t).alias(t) for t in ("semantic", "emotional", "episodic", "proactive", "past")], F.md5("formatted").alias("digest"))
 
 
 @query

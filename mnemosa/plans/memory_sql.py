@@ -142,14 +142,14 @@ def _rank(limit: int) -> str:
 fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS fused, min(ch * 1000000 + r) AS tie FROM ch WHERE r <= {w} GROUP BY ALL),
 fw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, tie) AS r FROM fu) WHERE r <= {w}),
 sh AS (SELECT fw.*, fused / max(fused) OVER (PARTITION BY query_id) AS share FROM fw),
-ad AS (SELECT sh.query_id, sh.id, tie, f.tag, f.significance, round(share * CASE WHEN temporal_status = 'historical' THEN 0.95::DOUBLE ELSE 1 END
+ad AS (SELECT sh.query_id, sh.id, fused, tie, f.tag, f.significance, round(share * CASE WHEN temporal_status = 'historical' THEN 0.95::DOUBLE ELSE 1 END
     * CASE WHEN CASE WHEN confidence <= 0 THEN 1 ELSE confidence END < 1 THEN 0.95::DOUBLE + 0.05::DOUBLE * confidence ELSE 1 END * (1 + 0.05::DOUBLE * coalesce(emotional_weight, 0))
     * CASE WHEN pinned THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN thread_status = 'open' THEN 1.03::DOUBLE ELSE 1 END * (1 + 0.02::DOUBLE * coalesce(engagement_score, 0))
     + 0.1::DOUBLE * 0.15::DOUBLE * least(g.matches, 2) + 1e-9::DOUBLE, 6) AS score
   FROM sh JOIN f ON f.uuid = sh.id JOIN g ON g.query_id = sh.query_id AND g.id = sh.id),
-cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie) AS no FROM ad WHERE score >= 0.05) WHERE no <= {limit}),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused DESC, tie) AS no FROM ad WHERE score >= 0.05) WHERE no <= {limit}),
 fin AS (SELECT *, round(score + 0.001::DOUBLE * significance + 1e-9::DOUBLE, 6) AS s FROM cut),
-top AS (SELECT query_id, id, tag, tie, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, tie) AS INTEGER) AS rank_no FROM fin)"""
+top AS (SELECT query_id, id, tag, fused, tie, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, fused DESC, tie) AS INTEGER) AS rank_no FROM fin)"""
 
 
 _ANSWERS = f"""{FACTS}, a AS (SELECT uuid AS question_id, CAST(significance % 5 + 1 AS INTEGER) AS category, significance % 5 = 4 AS adversarial, verbatim AS predicted, content AS truth, concat_ws(' ', tag, slot, verbatim) AS context FROM f WHERE verbatim <> ''),
@@ -184,8 +184,10 @@ SQL = {
     "dedup_texts": f"WITH {FACTS} SELECT uuid, {dedup_text('content')} AS norm FROM f",
     "trivial_conversations": f"""WITH {MESSAGES}, b AS (SELECT conversation_id, trim(regexp_replace({strip("lower(content)")}, '[^a-z0-9 ]', '', 'g')) AS x FROM m)
       SELECT conversation_id, bool_and(coalesce(x = '' OR list_contains({words(X.TRIVIAL)}, x), true)) AS is_trivial FROM b GROUP BY 1""",
-    "transcripts": f"""WITH {MESSAGES}, n AS (SELECT *, {strip("content")} AS body FROM m WHERE role IN ('user', 'assistant')), l AS (SELECT conversation_id, count(*) AS n_messages, string_agg(role || ': ' || body, chr(10) ORDER BY created_at, uuid) AS x FROM n WHERE body <> '' GROUP BY 1)
-      SELECT conversation_id, n_messages, length(x) AS n_chars, md5(x) AS digest FROM l""",
+    "transcripts": f"""WITH {MESSAGES}, n AS (SELECT *, {strip("content")} AS body FROM m WHERE role IN ('user', 'assistant')),
+      k AS (SELECT *, (row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, uuid) - 1) // 64 AS piece_no FROM n WHERE body <> ''),
+      l AS (SELECT conversation_id, piece_no, count(*) AS n_messages, string_agg(role || ': ' || body, chr(10) ORDER BY created_at, uuid) AS x FROM k GROUP BY 1, 2)
+      SELECT conversation_id, piece_no, n_messages, length(x) AS n_chars, md5(x) AS digest FROM l""",
     "entity_mentions": f"""WITH {FACTS}, w AS (SELECT entity_id, created_at, uuid, unnest(ws) AS w, unnest(range(len(ws))) AS wpos FROM (SELECT *, list_filter(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}@./]+'),
       lambda w: length(w) >= 3 AND NOT list_contains({words(X.MENTION_STOP)}, lower(w)) AND (substr(w, 1, 1) <> lower(substr(w, 1, 1)) OR regexp_matches(w, '[0-9@./]'))) AS ws FROM f)),
       g AS (SELECT entity_id, lower(w) AS low, arg_min(w, (created_at, uuid, wpos)) AS mention, min((created_at, uuid, wpos)) AS o FROM w GROUP BY ALL)
@@ -194,9 +196,9 @@ SQL = {
     "cosine_best": f"WITH {FACTS}, {TALKS}, {QUESTIONS} SELECT entity_id, uuid, round({cosine('embedding', 'query_vec')}, 6) AS cos FROM f JOIN q USING (entity_id)",
     "bm25_scores": f"WITH {FACTS}, {TALKS}, {QUESTIONS}, {_SCORES} SELECT query_id, id, lexical FROM lex WHERE lexical > 0",
     "rank_full": f"WITH {_rank(50)} SELECT query_id, id, rank_no, score FROM top",
-    "rank_diversified": f"""WITH {_rank(20)}, dn AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id, tag ORDER BY score DESC, tie) AS nth FROM top),
-      dv AS (SELECT query_id, id, tag, tie, CASE WHEN n > 2 AND nth > greatest(1, floor(n * 0.6)) THEN round(score * 0.85::DOUBLE + 1e-9::DOUBLE, 6) ELSE score END AS score FROM dn)
-      SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie) AS INTEGER) AS rank_no, score, tag FROM dv""",
+    "rank_diversified": f"""WITH {_rank(20)}, dn AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id, tag ORDER BY score DESC, fused DESC, tie) AS nth FROM top),
+      dv AS (SELECT query_id, id, tag, fused, tie, CASE WHEN n > 2 AND nth > greatest(1, floor(n * 0.6)) THEN round(score * 0.85::DOUBLE + 1e-9::DOUBLE, 6) ELSE score END AS score FROM dn)
+      SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused DESC, tie) AS INTEGER) AS rank_no, score, tag FROM dv""",
     "kneedle_cut": f"""WITH {_rank(50)}, a AS (SELECT *, count(*) OVER w AS n, max(score) OVER w AS mx, min(score) OVER w AS mn FROM top WINDOW w AS (PARTITION BY query_id)),
       b AS (SELECT *, round((1 - (rank_no - 1) / (n - 1)) - (score - mn) / (mx - mn), 9) AS bend FROM a),
       k AS (SELECT query_id, any_value(n) AS n, any_value(mx - mn) AS rng, max(bend) AS most, arg_max(rank_no, (bend, -rank_no)) AS knee FROM b GROUP BY 1)

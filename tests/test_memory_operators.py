@@ -190,16 +190,34 @@ def test_identity_section_goes_on_with_later_tags(spark):
 def test_tiered_context(spark):
     rows = [("q", i, t, c, v, "", None, T0) for i, (t, c, v) in enumerate([("Likes tea", 0.9, 'I "love" it'), ("Owns a cat", 0.6, None), ("Sings", 0.4, ""), ("Lies", 0.1, None)], 1)]
     facts = spark.createDataFrame(rows, "q string, position int, content string, confidence double, verbatim string, tag string, started_at string, created_at timestamp")
+    raised = spark.createDataFrame([("q", 1, "- [nostalgia] the sea")], "q string, position int, line string")
+    turns = spark.createDataFrame([("q", 1, 1, 4, False, "spoke of tea"), ("q", 2, None, None, True, "all of it")], "q string, position int, start_turn int, end_turn int, is_overview boolean, summary string")
+    past = spark.createDataFrame([("q", 1, "old talk", T0), ("other", 1, "x", T0)], "q string, position int, content string, created_at timestamp")
+
+    def make(total, most, *names):
+        parts = {"identity": C.identity_lines(facts, "q"), "threads": C.thread_lines(facts, "q", now()), "verified": C.recalled_lines(facts, "q", True), "inferred": C.recalled_lines(facts, "q", False), "proactive": raised, "session": C.session_lines(turns, "q"), "past": C.past_lines(past, "q", now())}
+        return {r.q: r for r in C.tiered_context({n: parts[n] for n in names}, "q", C.Budget(total, 60), most).collect()}
+
     h = C.TIER_HEADERS
-    make = lambda total, most: [
-        (r.section, r.line)
-        for r in C.tiered_context(facts, "q", [C.Tier("threads", "p", h["threads"], C.thread_lines(facts, "q", now()), True), C.Tier("verified", "e", h["verified"], C.recalled_lines(facts, "q", True)), C.Tier("inferred", "e", h["inferred"], C.recalled_lines(facts, "q", False))], total, most).orderBy("tier", "section", "position").collect()
-    ]
-    got = make(4000, 1)
-    assert ("threads", "- General: Likes tea (still open)") in got and sum(s == "threads" for s, _ in got) == 1
-    assert ("verified", '- Likes tea (confidence: 0.9) | User said: "I \\"love\\" it"') in got
-    assert ("inferred", "- May be owns a cat (confidence: 0.6)") in got and ("inferred", "- Possibly sings (confidence: 0.4)") in got and not any("Lies" in x or "lies" in x for _, x in got)
-    assert [s for s, _ in make(30, 9)] == ["threads"] * 2 and make(5, 9) == []
+    got = make(4000, 1, "threads", "verified", "inferred", "proactive", "session", "past")["q"]
+    # what is raised joins the open threads, whose place comes first
+    assert got.proactive == f"{h['threads']}\n- General: Likes tea (still open)\n\n{h['proactive']}\n- [nostalgia] the sea"
+    assert got.episodic == f"{h['verified']}\n- Likes tea (confidence: 0.9) | User said: \"I \\\"love\\\" it\"\n\n{h['inferred']}\n- May be owns a cat (confidence: 0.6)\n- Possibly sings (confidence: 0.4)"
+    assert got.working == f"{h['session']}\n- [Turns 1-4] spoke of tea\n- [Overview] all of it" and got.past == f"{h['past']}\n- [4 weeks ago] old talk"
+    assert got.formatted == "\n\n".join([got.proactive, got.episodic, got.working, got.past])
+    assert got.total_tokens == sum(map(C.estimate, (got.proactive, got.episodic, got.working, got.past)))
+    assert make(4000, None, "past")["other"].past.endswith("x")
+    # without room: the heading of what is recalled stays, other sections go
+    assert make(30, 9, "threads", "past")["q"].past == "" and make(30, 9, "threads")["q"].proactive.count("\n") == 2 and make(5, 9, "verified")["q"].episodic == h["verified"]
+    assert make(5, 9, "threads")["q"].formatted == ""
+    # in identity only the tag ends at a line that doesn't fit
+    wide = facts.withColumn("tag", F.when(F.col("position") == 1, "a").otherwise("b")).withColumn("content", F.when(F.col("position") == 1, F.repeat(F.lit("w "), 90)).otherwise(F.col("content")))
+    assert [r.semantic.count("Owns a cat") for r in C.tiered_context({"identity": C.identity_lines(wide, "q")}, "q", C.Budget(40, 10)).collect()] == [1]
+
+
+@pytest.mark.parametrize("text", ["", "  ", "one", "a b\u00a0c\u3000d", "日本", "\ufeff", "x\x1cy"])
+def test_token_estimates_agree(spark, text):
+    assert one(spark, X.estimate_tokens("v"), text) == [C.estimate(text)]
 
 
 def test_model_steps(spark):
