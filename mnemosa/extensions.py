@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemosa.functions.vectors import cosine
@@ -24,6 +24,16 @@ def tier_budgets(total: int, semantic_used: int, working_used: int, semantic: fl
     return {"semantic": s, "working": w, "episodic": total - min(s, semantic_used) - min(w, working_used)}
 
 
+def list_canonical_slots(slots: DataFrame) -> DataFrame:
+    """The registry of slots with position, in order of names; it is small and fixed."""
+    return slots.withColumn("position", F.row_number().over(Window.orderBy("name")))
+
+
+def find_canonical_slot(slots: DataFrame, names: DataFrame) -> DataFrame:
+    """The registered slots of the given names (name)."""
+    return slots.join(names.select("name").distinct(), "name", "left_semi")
+
+
 def canonical_slots(facts: DataFrame, slots: DataFrame, least: float = 0.85) -> DataFrame:
     """uuid, slot, canonical, cos: the closest canonical slot of every fact's vector, if close enough.
 

@@ -122,13 +122,13 @@ def ingest(facts: DataFrame, extracted: DataFrame, as_of: Column, strict: bool =
     return per_fact.select("entity_id", F.col("seq").cast("bigint").alias("seq"), "uuid", "action", "target").unionByName(demoted)
 
 
-def artifact_supersessions(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """uuid, superseded_by: existing artifacts close to a new one of their conversation; the last new one by seq counts."""
+def artifact_supersessions(new: DataFrame, existing: DataFrame, least: float = ARTIFACT) -> DataFrame:
+    """uuid, superseded_by: existing artifacts closer than `least` to a new one of their conversation; the last new one by seq counts."""
     from mnemosa.functions.vectors import cosine
 
     old = existing.filter("superseded_by IS NULL").select("conversation_id", F.col("uuid").alias("_old"), F.col("description_embedding").alias("_v"))
     pairs = new.select("conversation_id", "uuid", "seq", F.col("description_embedding").alias("_w")).join(old, "conversation_id").filter("uuid <> _old")
-    close = pairs.filter(F.round(cosine("_v", "_w"), 6) > ARTIFACT)
+    close = pairs.filter(F.round(cosine("_v", "_w"), 6) > least)
     return close.groupBy(F.col("_old").alias("uuid")).agg(F.max_by("uuid", "seq").alias("superseded_by"))
 
 
@@ -208,12 +208,12 @@ def consolidation_groups(facts: DataFrame, as_of: Column, min_group: int = 3, ne
     return tags.filter(F.col("n_facts") >= min_group)
 
 
-def duplicate_patterns(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """new_id, old_id: each new pattern's first existing one (newest first) of its entity that is close to it."""
+def duplicate_patterns(new: DataFrame, existing: DataFrame, least: float = PATTERN) -> DataFrame:
+    """entity_id, new_id, old_id: each new pattern's first existing one (newest first) of its entity that is closer to it than `least`."""
     from mnemosa.functions.vectors import cosine
 
     pairs = new.select("entity_id", F.col("uuid").alias("new_id"), F.col("embedding").alias("_a")).join(
         existing.filter("fact_type = 'pattern'").select("entity_id", F.col("uuid").alias("old_id"), F.col("embedding").alias("_b"), "created_at"), "entity_id"
     )
-    close = pairs.filter(F.col("new_id") != F.col("old_id")).filter(F.round(cosine("_a", "_b"), 6) > PATTERN)
+    close = pairs.filter(F.col("new_id") != F.col("old_id")).filter(F.round(cosine("_a", "_b"), 6) > least)
     return first_in_group(close, ["entity_id", "new_id"], [F.desc("created_at"), F.asc("old_id")], 1).select("entity_id", "new_id", "old_id")

@@ -16,7 +16,8 @@ def words(items) -> str:
 FACTS = f"""f AS (SELECT {KEY.format("uuid")} AS uuid, {KEY.format("entity_id")} AS entity_id, coalesce(content, '') AS content, CASE WHEN len(embedding) > 0 THEN embedding END AS embedding,
   created_at, updated_at, coalesce(fact_type, 'identity') AS fact_type, coalesce({KEY.format("temporal_status")}, 'current') AS temporal_status, coalesce(significance, 5) AS significance,
   reference_time, expires_at, reinforced_at, coalesce(reinforced_count, 0) AS reinforced_count, coalesce(tag, '') AS tag, coalesce(slot, '') AS slot, coalesce(confidence, 1.0) AS confidence,
-  coalesce(embedding_model, '') AS embedding_model, coalesce(recall_count, 0) AS recall_count, last_recalled_at, emotional_weight, emotional_valence, verbatim, thread_status, engagement_score, coalesce(pinned, false) AS pinned
+  coalesce(embedding_model, '') AS embedding_model, coalesce(recall_count, 0) AS recall_count, last_recalled_at, emotional_weight, emotional_valence, verbatim, thread_status, engagement_score, coalesce(pinned, false) AS pinned,
+  coalesce(source_role, '') AS source_role, started_at, superseded_at, superseded_by
   FROM (SELECT *, row_number() OVER (PARTITION BY {KEY.format("uuid")} ORDER BY updated_at DESC) AS state_no FROM mg_entity_fact)
   WHERE state_no = 1 AND {KEY.format("entity_id")} IS NOT NULL)"""
 TALKS = f"""c AS (SELECT {KEY.format("uuid")} AS uuid, {KEY.format("session_id")} AS session_id, {KEY.format("entity_id")} AS entity_id, summary,

@@ -2,10 +2,12 @@
 
 import pytest
 
-from mnemosa.plans import data_queries, memory_queries
+from mnemosa.plans import data_queries, memory_queries, store_queries
 from tests.oracle import compare
 
-ALL = {k: (q, m.SQL.get(k)) for m in (data_queries, memory_queries) for k, q in m.QUERIES.items()}
+MODULES = (data_queries, memory_queries, store_queries)
+SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
+ALL = {k: (q, SQL.get(k)) for m in MODULES for k, q in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
