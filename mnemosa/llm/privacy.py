@@ -23,13 +23,18 @@ from mnemosa.llm import privacy_rules as R
 from mnemosa.session import materialize
 
 KINDS = ("EMAIL", "ADDRESS", "PHONE", "ID", "NAME")
-#: Beyond so many learned family names each text gets those it contains by a join, not all by broadcast.
+#: Beyond so many learned names each text gets those it contains by a join, not all by broadcast.
 LEXICON_MOST = 200_000
+#: Most given names: the list goes to every task, so a longer one is refused, not cut.
+GIVEN_MOST = 1_000_000
 #: A family name is learned from so many different texts at least.
 LEXICON_LEAST = 2
 #: A word is common if this share of the different texts has it in lower case.
 COMMON_SHARE = 0.001
 
+#: What a learned name was seen as, in the lexicon: a family name, or one after a title or an introduction.
+_PARTS = ("f", "g")
+
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters that re.I takes for ASCII ones but str.lower leaves.
@@ -47,14 +52,15 @@ _LEFT = {
     "ID": _before(R.ID_LEFT),
     "ADDRESS": re.compile(rf"(?:^|[^\w])(?:{R.ADDRESS_LEFT})[\s:]*$|\n$|^$", re.I),
 }
+_LEAD = re.compile(rf"(?:^|[^\w])(?:{R.NAME_INTRO})\s*(?:(?:{R.TITLES})\.? )?$", re.I)
 _TITLE = re.compile(rf"(?:^|[^\w])(?:{R.TITLES})\.?\s$", re.I)
 _NAME_RIGHT = re.compile(rf"\s(?:{R.NAME_RIGHT})(?![^\W\d_])", re.I)
+_NEXT = re.compile(r" ([^\W\d_]+)")
 _NAME_END = re.compile(rf"\s(?:{R.NAME_END})(?![^\W\d_])|\s?[^\w\s]|$|\n", re.I)
 _ID_RIGHT = re.compile(rf"[\s,]*(?:{R.ID_RIGHT})", re.I)
 _AGAINST = re.compile(rf"(?:^|[^\w])(?:{R.NOT_PERSONAL})[\s:#.-]*$", re.I)
 _LIST_LEFT = re.compile(r"(?:and|und|et|y|e|&)\s$", re.I)
 _INTRO = re.compile(rf"(?:^|[^\w])(?:(?:{R.TITLES})\.? |(?:{R.NAME_INTRO})\s*(?:(?:{R.TITLES})\.? )?)(?-i:([A-ZÀ-ÞĀ-Ž][^\W\d_]*(?:[-'’][^\W\d_]+)*))(?!['’]s)", re.I)
-_STILL = re.compile(r"\bIs ([A-ZÀ-ÞĀ-Ž][^\W\d_]+(?:[-'’][^\W\d_]+)*)(?= .{0,30}still living)")
 _SURNAME = re.compile(rf" ((?:[^\W\d_]\. )?(?:{R.PARTICLES} )?(?:mc |d['’])?[^\W\d_]+(?:[-'’][^\W\d_]+)*)(\.?)", re.I)
 _INVERTED = re.compile(rf"(?<![\w.])((?:{R.PARTICLES} )?[^\W\d_]+(?:[-'’][^\W\d_]+)*), $", re.I)
 _FORENAME = re.compile(rf"(?<![^\W\d_])(?:([^\W\d_]\.|[^\W\d_]+(?:[-'’][^\W\d_]+)*) )?((?:[^\W\d_]\. )?(?:{R.PARTICLES} |mc )?)$", re.I)
@@ -77,30 +83,29 @@ def hints(text: str) -> dict[str, bool]:
         "ID": digits >= 5,
         "SPOKEN": not words.isdisjoint(R.NUMBER_WORDS) and sum(w in R.NUMBER_WORDS for w in listed) >= 7,
         "INTRO": not words.isdisjoint(R.TITLE_WORDS) or any(p in low for p in R.INTRO_PARTS),
-        "STILL": "still living" in text,
     }
 
 
 class Scanner:
     """Finds candidate spans and their votes in a text. Plain data, so that it can be sent to workers."""
 
-    def __init__(self, given: Iterable[str], family: Iterable[str] = (), common: Iterable[str] = ()):
+    def __init__(self, given: Iterable[str], family: Iterable[str] = (), common: Iterable[str] = (), firsts: Iterable[str] = ()):
         self.given = frozenset(g.lower() for g in given)
         self.given_words = frozenset(w for g in self.given for w in _TOKEN.findall(g))
-        self.family = frozenset(family)
+        self.family, self.firsts = frozenset(family), frozenset(firsts)
         self.common = frozenset(common) - self.given
-        self.stop = R.STOP | R.INTRO_WORDS | self.common - self.family
-        self.seeds = self.given_words | self.family
+        self.stop = R.STOP | R.INTRO_WORDS | self.common - self.family - self.firsts
+        self.seeds = self.given_words | self.family | self.firsts
 
     def within(self, known: Iterable[str]) -> Scanner:
-        """This scanner with the family names `known`; for one text those it contains do for the whole lexicon."""
+        """This scanner with the names `known` (each with its part in _PARTS before it); for one text those it contains do for the whole lexicon."""
         if not known:
             return self
         other = copy.copy(self)
-        other.family = frozenset(known)
-        other.seeds = self.given_words | other.family
-        if not other.family.isdisjoint(self.common):
-            other.stop = R.STOP | R.INTRO_WORDS | self.common - other.family
+        other.family, other.firsts = (frozenset(k[1:] for k in known if k[0] == part) for part in _PARTS)
+        other.seeds = self.given_words | other.family | other.firsts
+        if not (other.family | other.firsts).isdisjoint(self.common):
+            other.stop = R.STOP | R.INTRO_WORDS | self.common - other.family - other.firsts
         return other
 
     # names -----------------------------------------------------------------------------
@@ -150,16 +155,19 @@ class Scanner:
 
     def _names(self, text: str, can: dict[str, bool], taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
         found: dict[tuple[int, int], tuple[bool, bool]] = {}
+        seen: dict[tuple[int, int], bool] = {}
         if not self.seeds.isdisjoint(map(str.lower, _TOKEN.findall(text))):
             for m in _TOKEN.finditer(text):
                 word, s, e = m.group(0).lower(), m.start(), m.end()
-                if word not in self.given and word not in self.family:
+                first = word in self.given or word in self.firsts and word not in self.family and m.group(0)[0].isupper()
+                if not first and word not in self.family:
                     continue
                 if any(a < e and s < b for a, b in taken) or text[e : e + 1].isdigit() or text[e : e + 1] in ("@", "_"):
                     continue
-                if word in self.given:
+                if first:
                     s, e, known = self._name_at(text, s, e)
-                    found[s, e] = (True, known)
+                    found[s, e] = (word in self.given, known)
+                    seen[s, e] = word in self.firsts
                     continue
                 back = _FORENAME.search(text[max(0, s - 45) : s])
                 if back:
@@ -176,8 +184,6 @@ class Scanner:
         intros = []
         if can["INTRO"]:
             intros += [m.span(1) for m in _INTRO.finditer(text)]
-        if can["STILL"]:
-            intros += [m.span(1) for m in _STILL.finditer(text)]
         for s, e in intros:
             if text[s:e].lower() in self.stop or text[max(0, s - 3) : s] == " m " or any(a <= s < b for a, b in [*found, *taken]):
                 continue
@@ -199,17 +205,20 @@ class Scanner:
             left, name = text[max(0, s - 45) : s], text[s:e]
             parts = len(name.split(" "))
             title = bool(_TITLE.search(left))
+            lead = bool(_LEAD.search(left))
             intro = title or bool(_LEFT["NAME"].search(left)) or bool(_LIST_LEFT.search(left) and spans) or bool(s == 0 and parts > 1)
             intro = intro or bool(_NAME_RIGHT.match(text, e) and re.search(r"(?:^|[.!?…]\s|\n)$", left))
-            after = "+" if _NAME_RIGHT.match(text, e) else "0" if _NAME_END.match(text, e) or not re.match(r" [a-zà-þ]", text[e : e + 2]) else "-"
+            ahead = _NEXT.match(text, e)
+            after = "+" if _NAME_RIGHT.match(text, e) else "-" if ahead and ahead.group(1)[0].islower() and ahead.group(1).lower() not in R.STOP else "0"
             shape = "-" if name[0].islower() else "+" if parts > 1 else "0"
-            votes = ("+" if given else "0", "+" if known else "0" if parts > 1 else "-", "+" if title else "0", "+" if intro else "0", after, shape)
+            votes = ("+" if given else "0", "+" if seen.get((s, e)) else "0", "+" if known or seen.get((s, e)) else "0" if parts > 1 else "-", "+" if title else "0", "+" if lead else "0", "+" if intro else "0", after, shape)
             spans.append((s, e, "".join(votes)))
         return spans
 
-    def learn(self, texts: Iterable[str]) -> tuple[Counter, Counter]:
-        """Words that stand as a capitalised family name beside a given name, and words in lower case, with the number of texts."""
+    def learn(self, texts: Iterable[str]) -> tuple[Counter, Counter, Counter]:
+        """With the number of texts: words that stand as a capitalised family name beside a given name, words that stand as a name after a title or what introduces one, and words in lower case."""
         family: Counter = Counter()
+        firsts: Counter = Counter()
         common: Counter = Counter()
         for text in texts:
             words = set(_TOKEN.findall(text))
@@ -224,7 +233,10 @@ class Scanner:
                         if len(word) > 3 and (word[0].isupper() and not word.isupper() or re.match(r"d['’]", word)):
                             mine.add(word.lower())
             family.update(mine)
-        return family, common
+            if hints(text)["INTRO"]:
+                told = {m.group(1) for m in _INTRO.finditer(text)}
+                firsts.update({w.lower() for w in told if len(w) > 2 and not w.isupper()} - self.given - self.stop)
+        return family, firsts, common
 
     # all kinds -------------------------------------------------------------------------
 
@@ -257,8 +269,6 @@ class Scanner:
                 odd = "-" if any(w.lower() in R.STOP - {"st", "rd", "ave", "row", "lane", "road", "court", "street", "stop", "am", "de", "la", "des", "du", "le", "les", "der", "an", "im", "c", "no", "d", "del", "los", "las", "blue"} for w in inner) or re.search(r"\d[:.]\d", item) else "0"
                 place = "+" if re.search(r"\d{5}|\b(?:apt|appt|flat|og)\b|º", item[3:], re.I) else "0"
                 left = "+" if _LEFT["ADDRESS"].search(text[max(0, s - 30) : s]) else "0"
-                if odd == "-" and left == "0" and place == "0":
-                    continue
                 spans.append(("ADDRESS", s, s + len(item), number + named + odd + place + left))
         for kind, pattern in (("PHONE", R.PHONE), ("ID", R.ID)):
             if can[kind]:
@@ -273,8 +283,6 @@ class Scanner:
                     if kind == "ID" and _ID_RIGHT.match(text, e):
                         mine = "+"
                     against = "-" if _AGAINST.search(left) or _DATE.fullmatch(item) else "0"
-                    if against == "-" and mine == "0":
-                        continue
                     if kind == "PHONE":
                         shape = "+" if re.match(r"\+|00|\(|0|1[ .-]", item) or re.fullmatch(r"[2-9]\d{2}[ .-]?\d{3}[ .-]?\d{4}.*", item) else "0"
                     else:
@@ -353,29 +361,33 @@ _FOUND = "field string, uuid string, text string, spans array<struct<kind:string
 
 
 def build_scanner(texts: DataFrame, given_names: DataFrame) -> tuple[Scanner, DataFrame | None]:
-    """A scanner with the lexicon learned from all different `texts` (text), and the family names (word) if they are too many for it.
+    """A scanner with the lexicon learned from all different `texts` (text), and the learned names (part, word) if they are too many for it.
 
     Common words are in so large a share of the texts that their number is bounded by
     1 / COMMON_SHARE times the mean number of words of a text.
     """
-    names = [r.name for r in given_names.filter("name IS NOT NULL").select("name").distinct().limit(100_000).collect()]
-    counted = texts.select("text").distinct().mapInArrow(_learner(Scanner(names)), "word string, family bigint, common bigint")
-    hits = materialize(counted.groupBy("word").agg(F.sum("family").alias("family"), F.sum("common").alias("common")).filter((F.col("family") >= LEXICON_LEAST) | (F.col("common") >= LEXICON_LEAST)))
+    names = [r.name for r in given_names.filter("name IS NOT NULL").select("name").distinct().limit(GIVEN_MOST + 1).collect()]
+    if len(names) > GIVEN_MOST:
+        raise ValueError(f"more than {GIVEN_MOST} given names")
+    counted = texts.select("text").distinct().mapInArrow(_learner(Scanner(names)), "word string, family bigint, firsts bigint, common bigint")
+    sums = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("family", "firsts", "common")])
+    hits = materialize(sums.filter(F.greatest("family", "firsts", "common") >= LEXICON_LEAST))
     n = sum(r.common for r in hits.filter("word = ''").collect())
     common = [r.word for r in hits.filter((F.col("word") != "") & (F.col("common") >= max(LEXICON_LEAST, COMMON_SHARE * n))).collect()]
-    family = hits.filter((F.col("family") >= LEXICON_LEAST) & (F.col("family") > F.col("common") / 4)).select("word")
-    most = family.limit(LEXICON_MOST + 1).collect()
+    parts = [hits.filter((F.col(c) >= LEXICON_LEAST) & (F.col(c) > F.col("common") / 4)).select(F.concat(F.lit(p), "word").alias("part"), "word") for c, p in zip(("family", "firsts"), _PARTS)]
+    lexicon = parts[0].unionByName(parts[1])
+    most = [r.part for r in lexicon.limit(LEXICON_MOST + 1).collect()]
     if len(most) > LEXICON_MOST:
-        return Scanner(names, (), common), family
-    return Scanner(names, [r.word for r in most], common), None
+        return Scanner(names, (), common), lexicon
+    return Scanner(names, [w[1:] for w in most if w[0] == _PARTS[0]], common, [w[1:] for w in most if w[0] == _PARTS[1]]), None
 
 
-def with_known(texts: DataFrame, family: DataFrame | None) -> DataFrame:
-    """`texts` with `known`, the family names each contains, where they are too many for the scanner; else as it is."""
-    if family is None:
+def with_known(texts: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+    """`texts` with `known`, the learned names each contains, where they are too many for the scanner; else as it is."""
+    if lexicon is None:
         return texts
     words = texts.filter("text IS NOT NULL").select(F.md5("text").alias("_id"), "text").distinct().mapInArrow(_worder, "_id string, word string")
-    known = words.join(family, "word").groupBy("_id").agg(F.collect_set("word").alias("known"))
+    known = words.join(lexicon, "word").groupBy("_id").agg(F.collect_set("part").alias("known"))
     return texts.withColumn("_id", F.md5("text")).join(known, "_id", "left").drop("_id")
 
 
@@ -394,11 +406,11 @@ def _learner(scanner: Scanner):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            family, common = scanner.learn(b.column("text").to_pylist())
+            family, firsts, common = scanner.learn(b.column("text").to_pylist())
             common[""] = b.num_rows
-            words = list(family.keys() | common.keys())
-            counts = [pa.array([c[w] for w in words], pa.int64()) for c in (family, common)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *counts], names=["word", "family", "common"])
+            words = list(family.keys() | firsts.keys() | common.keys())
+            counts = [pa.array([c[w] for w in words], pa.int64()) for c in (family, firsts, common)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *counts], names=["word", "family", "firsts", "common"])
 
     return run
 

@@ -17,7 +17,11 @@ INTRO_WORDS = frozenset(
     dr mr mrs ms miss prof professor sir herr frau mme madame mlle monsieur señora señor sra sr doña doctor doctora""".split()
 )
 TITLES = r"dr|mr|mrs|ms|miss|prof|professor|sir|herr|frau|mme|madame|mlle|monsieur|m|señora|señor|sra|sr|doña|don|doctor|doctora"
-NAME_RIGHT = r"treats|uses|usa|keeps|still living|will pick|from the|again|préfère|prefiere|last week|rang|called me|says|said|asked"
+NAME_RIGHT = (
+    r"says|said|asked|asks|told|tells|thinks|thought|wants|wanted|likes|prefers|called|calls|phoned|wrote|writes|lives|lived|works|worked|uses|came|comes|went|met|moved|rang|"
+    r"sagt|sagte|fragt|fragte|meint|meinte|mag|will|wohnt|arbeitet|schreibt|rief|kam|dit|disait|demande|veut|aime|préfère|habite|travaille|écrit|appelle|"
+    r"dice|dijo|pregunta|preguntó|quiere|prefiere|vive|trabaja|escribe|llamó|usa|vino"
+)
 NAME_END = r"at|al|en|au|à|ist|unter|and|will|from|in"
 MAIL_LEFT = r"mail|e-mail|email|courriel|mailto|correo|write|schreib|écris|escríbeme|send|cc|contact|uses|usa|reach|or|oder|forward|notes to|préfère|llama"
 PHONE_LEFT = (
@@ -27,7 +31,7 @@ ID_LEFT = (
     r"passport|id|id card|identity|identification|social security|ssn|insurance number|insurance no|national insurance|tax number|tax id|tax|licen[cs]e|form wants|"
     r"ausweis\w*|steuer\w*|personalausweis|reisepass|sécu|sécurité sociale|passeport|carte d'identité|dni|nie|nif|documento|pasaporte|document"
 )
-ID_RIGHT = r"belongs|is held|and is held|caducado|in case you need it|for the school form|- can you store|läuft|expired|périmé|est à"
+ID_RIGHT = r"belongs|is held|and is held|is valid|expires|expired|gehört|läuft ab|abgelaufen|gültig|caduca|caducado|pertenece|périmé|appartient|est à|valable"
 NOT_PERSONAL = (
     r"parcel|package|colis|paquete|paket|build|version|versión|ticket|order|invoice|inv|tck|req|mg|price|prix|preis|precio|paid|counted|rows|notes|notas|notizen|"
     r"dossier|incidencia|build \d+|since|gate|room|dock|platform|lane"
@@ -46,7 +50,7 @@ STOP = frozenset(
     can could would should i'm i'd i've it's that's don't has have had there's my our their his her parcel version build name tel mail best regards cheers thx
     grüße cordialement saludos mr mrs ms dr prof herr frau mme madame monsieur señora señor sra sr doña ok yes no sure hello hi great got tell last more but
     between after before about because while nobody most context session if some any every all para pero como muy está así sehr nicht noch auch aber wenn
-    tea paint blue hotel pub stop street lane row road court ave rd st à ruf demandez appelle appelez pregunta llama frag fragen sie bitte nach
+    stop street lane row road court ave rd st à ruf demandez appelle appelez pregunta llama frag fragen sie bitte nach
     mañana hoy demain aujourd'hui morgen heute lunes lundi montag sure someone great please honestly sorry van der den""".split()
 )
 FILE_ENDINGS = frozenset("png jpg jpeg gif svg md txt pdf ics gz zip xlsx docx csv json py js html log yaml yml".split())
