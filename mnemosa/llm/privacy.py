@@ -423,12 +423,12 @@ def _scanned(b: pa.RecordBatch, scanner: Scanner) -> Iterator[tuple[str, list[tu
         yield text, (scanner.within(mine) if mine else scanner).scan(text)
 
 
-def _finder(scanner):
+def _finder(scanner, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, spans = [], []
             for i, (_, found) in enumerate(_scanned(b, scanner.value)):
-                if found:
+                if found or every:
                     at.append(i)
                     spans.append([{"kind": k, "s": s, "e": e, "votes": v} for k, s, e, v in found])
             if at:
@@ -452,10 +452,10 @@ def _chooser(scores):
     return run
 
 
-def candidates(texts: DataFrame, scanner: Scanner) -> DataFrame:
-    """field, uuid, text, spans of the texts (field, uuid, text) that have candidates; materialised."""
+def candidates(texts: DataFrame, scanner: Scanner, every: bool = False) -> DataFrame:
+    """field, uuid, text, spans of the texts (field, uuid, text) that have candidates, or of all; materialised."""
     shared = texts.sparkSession.sparkContext.broadcast(scanner)
-    return materialize(texts.mapInArrow(_finder(shared), _FOUND))
+    return materialize(texts.mapInArrow(_finder(shared, every), _FOUND))
 
 
 def reliabilities(found: DataFrame) -> dict[tuple[str, str], float]:
@@ -472,23 +472,25 @@ def find_personal(texts: DataFrame, given_names: DataFrame) -> DataFrame:
     and the final distinct over the items; the texts once more where the lexicon must be joined.
     """
     texts = texts.filter("text IS NOT NULL AND text <> ''")
-    scanner, family = build_scanner(texts, given_names)
-    found = candidates(with_known(texts, family), scanner)
+    scanner, lexicon = build_scanner(texts, given_names)
+    found = candidates(with_known(texts, lexicon), scanner)
     return found.mapInArrow(_chooser(reliabilities(found)), "field string, uuid string, kind string, found_text string").distinct()
 
 
 def redact(texts: DataFrame, given_names: DataFrame) -> DataFrame:
     """field, uuid, text with each item replaced by its placeholder; other text unchanged, null stays null."""
     usable = texts.filter("text IS NOT NULL AND text <> ''")
-    scanner, family = build_scanner(usable, given_names)
-    scores = reliabilities(candidates(with_known(usable, family), scanner))
+    scanner, lexicon = build_scanner(usable, given_names)
+    found = candidates(with_known(texts.select("field", "uuid", "text"), lexicon), scanner, True)  # every text is scanned once
+    scores = reliabilities(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [t and replace(t, resolve(spans, scores)) for t, spans in _scanned(b, scanner)]
+            spans = b.column("spans").to_pylist()
+            out = [t and replace(t, resolve([(x["kind"], x["s"], x["e"], x["votes"]) for x in mine], scores)) for t, mine in zip(b.column("text").to_pylist(), spans)]
             yield pa.RecordBatch.from_arrays([b.column("field"), b.column("uuid"), pa.array(out, pa.string())], names=["field", "uuid", "text"])
 
-    return with_known(texts.select("field", "uuid", "text"), family).mapInArrow(run, "field string, uuid string, text string")
+    return found.mapInArrow(run, "field string, uuid string, text string")
 
 
 def replace(text: str, items: list[tuple[str, int, int]]) -> str:
