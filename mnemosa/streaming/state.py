@@ -41,29 +41,45 @@ def session_batch(touches: DataFrame, user: str, time: str, timeout_minutes: int
 REINFORCED = "uuid string, reinforced_count int, significance int, reinforced_at timestamp, expires_at timestamp"
 
 
-def reinforcement_stream(mentions: DataFrame, promotion: int = 5, ttl_days: int = 365) -> DataFrame:
-    """Running state of facts under mentions (uuid, at, significance): one row per fact and batch (update mode).
-
-    State is one small row per fact and goes when the fact wasn't mentioned for `ttl_days`.
-    """
+def reinforcement_step(promotion: int, ttl_days: int):
+    """What reinforcement_stream does with the new mentions of one fact."""
 
     def step(key, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        count, lasting, last = state.get if state.exists else (0, False, 0)
+        count, significance, last, ends = state.get if state.exists else (None, 0, 0, None)
         for pdf in batches:
-            for at, sig in sorted(zip(pdf["at"], pdf["significance"]), key=lambda x: x[0]):
+            for at, sig, stored, weight in sorted(zip(pdf["at"], pdf["significance"], pdf["stored_count"], pdf["stored_significance"]), key=lambda x: x[0]):
+                if count is None:
+                    count, significance = int(stored), int(weight)
                 count += 1
-                lasting = lasting or count >= promotion or sig >= 10
-                last, sig_now = int(at.value // 1000), int(sig)
-        state.update((count, lasting, last))
+                up = count >= promotion and significance < 10
+                when = int(at.value // 1000)
+                if up:
+                    significance, ends = 10, None
+                elif when >= last:
+                    ends = None if sig >= 10 else when + (30 if sig >= 5 else 7) * 86_400_000_000
+                last = max(last, when)
+        state.update((count, significance, last, ends))
         state.setTimeoutDuration(ttl_days * 86_400_000)
-        at = pd.Timestamp(last, unit="us")
-        ends = None if lasting else at + pd.Timedelta(days=30 if sig_now >= 5 else 7)
-        yield pd.DataFrame({"uuid": [key[0]], "reinforced_count": [count], "significance": [10 if lasting else sig_now], "reinforced_at": [at], "expires_at": [ends]})
+        stamp = lambda us: None if us is None else pd.Timestamp(us, unit="us")
+        yield pd.DataFrame({"uuid": [key[0]], "reinforced_count": [count], "significance": [significance], "reinforced_at": [stamp(last)], "expires_at": [stamp(ends)]})
+
+    return step
 
-    return mentions.groupBy("uuid").applyInPandasWithState(step, REINFORCED, "count int, lasting boolean, last long", "update", "ProcessingTimeTimeout")
+
+def reinforcement_stream(mentions: DataFrame, promotion: int = 5, ttl_days: int = 365) -> DataFrame:
+    """Running state of facts under mentions: one row per fact and batch (update mode).
+
+    mentions: uuid, at, significance (of the mention), and what the store holds of the fact:
+    stored_count and stored_significance, which the count goes on from. A fact is promoted by
+    the mention that brings its count to `promotion`; one that is lasting already gets the
+    expiry of its last mention, as in the store. Times never go back, whatever comes late.
+    State is one small row per fact and goes when the fact wasn't mentioned for `ttl_days`.
+    """
+    step = reinforcement_step(promotion, ttl_days)
+    return mentions.groupBy("uuid").applyInPandasWithState(step, REINFORCED, "count int, significance int, last long, ends long", "update", "ProcessingTimeTimeout")
 
 
 def ingest_stream(extracted: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):

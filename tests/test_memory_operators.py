@@ -247,6 +247,34 @@ def test_session_stream_equals_batch(spark, tmp_path):
     assert got == {w for w in want if w[1] < T0 + dt.timedelta(days=30)} or got == want
 
 
+def test_reinforcement_goes_on_from_the_store():
+    import pandas as pd
+
+    from mnemosa.streaming.state import reinforcement_step
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutDuration(self, ms):
+            self.ms = ms
+
+        def remove(self):
+            self.exists = False
+
+    days = lambda n: T0 + dt.timedelta(days=n)
+    state, step = State(), reinforcement_step(5, 365)
+    feed = lambda *rows: [tuple(r)[1:] for r in next(step(("a",), [pd.DataFrame(rows, columns=["at", "significance", "stored_count", "stored_significance"])], state)).itertuples(index=False)][0]
+    row = lambda n, sig: (pd.Timestamp(days(n)), sig, 2, 4)
+    assert feed(row(5, 3)) == (3, 4, days(5), days(12))
+    assert feed(row(2, 9)) == (4, 4, days(5), days(12))  # late: counts, but times don't go back
+    count, significance, last, ends = feed(row(6, 3))
+    assert (count, significance, last) == (5, 10, days(6)) and pd.isna(ends)  # promoted
+    assert feed(row(7, 3))[:2] == (6, 10) and state.get[3] is not None  # mentioned lightly, it expires again
+
+
 def test_store_and_api(spark, tmp_path):
     from mnemosa.api import Memory
     from mnemosa.sources.stores import ParquetStore
